@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 
+from vecinity.plans.lineage import partitions, saved, scratch  # noqa: F401
+
 U = np.uint64
 #: Base of the polynomial word hash and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
@@ -126,31 +126,3 @@ def ngrams(hashes: np.ndarray, n: int) -> np.ndarray:
     for k in range(n):
         out += hashes[k : k + m] * U(PLACES[k])
     return mix(out + U(n))
-
-
-def scratch(spark, name: str) -> str:
-    """A new folder below spark.checkpoint.dir; where that is unset (tests, one machine) below the warehouse."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-    if ":" not in root.split("/")[0]:
-        root = "file://" + root
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def saved(df, name: str):
-    """df written to the shared folder and read again: lineage ends here, and lost executors cost nothing before it."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def partitions(spark) -> int:
-    """How many partitions shuffles of this session use."""
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-
-def arrow_batches(columns: dict, schema: pa.Schema):
-    """One record batch from numpy arrays or lists."""
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecinity.llm import decontaminate, language, line_dedup, packing
+from vecinity.llm import decontaminate, jaccard_join, language, line_dedup, packing
 from vecinity.llm.language import held_out
 
 
@@ -58,6 +58,24 @@ FROM d LEFT JOIN kept USING (r)
 """
 
 
+def op9_ngram_jaccard_join(spark, sf_dir):
+    return jaccard_join.components(table(spark, sf_dir, "documents"))
+
+
+OP9_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + least(5, len(w)) - 1], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM sh a JOIN sh b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 80 * (x.n + y.n - i)),
+edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach(a, b) AS (SELECT a, b FROM edges UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a),
+low AS (SELECT a, min(b) AS m FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(m, d.doc_id))::BIGINT AS component_id
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN low ON low.a = d.doc_id
+"""
+
+
 def tokenizer_path() -> str:
     """Where the public vocabulary lies; a parameter of the operator."""
     import public_tokenizers
@@ -70,8 +88,8 @@ def op10_packing(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language_id, op3_decontaminate, op7_line_dedup, op10_packing)}
+    return {f.__name__: f for f in (op2_language_id, op3_decontaminate, op7_line_dedup, op9_ngram_jaccard_join, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontaminate": OP3_SQL, "op7_line_dedup": OP7_SQL}
+    return {"op3_decontaminate": OP3_SQL, "op7_line_dedup": OP7_SQL, "op9_ngram_jaccard_join": OP9_SQL}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecinity.llm import decontaminate, language, line_dedup, packing
+from vecinity.llm import decontaminate, jaccard_join, language, line_dedup, packing
 from vecinity.llm.queries import held_out, table, tokenizer_path
 
 
@@ -22,7 +22,9 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """One document of each group of near-duplicates: that with the smallest id; documents without words stay."""
+    found = jaccard_join.similar(docs)["documents"].where("doc_id <> component_id").select("doc_id")
+    return docs.join(found, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
