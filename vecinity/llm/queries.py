@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecinity.llm import decontaminate, jaccard_join, language, line_dedup, packing
+from vecinity.llm import decontaminate, jaccard_join, language, language_model, line_dedup, packing
 from vecinity.llm.language import held_out
 
 
@@ -40,6 +40,11 @@ FROM d LEFT JOIN items USING (r) LEFT JOIN words USING (r)
 """
 
 
+def op5_lm_scoring(spark, sf_dir):
+    scored = language_model.score(table(spark, sf_dir, "documents"), "crc32(coalesce(cast(doc_id as string), '')) % 7 <> 2")
+    return scored.select("doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_line_dedup(spark, sf_dir):
     out = line_dedup.drop_boilerplate(table(spark, sf_dir, "documents"), counts=True)
     return out.select("doc_id", "n_lines", "n_dropped", F.length("text").cast("long").alias("n_chars_kept"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
@@ -88,7 +93,7 @@ def op10_packing(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language_id, op3_decontaminate, op7_line_dedup, op9_ngram_jaccard_join, op10_packing)}
+    return {f.__name__: f for f in (op2_language_id, op3_decontaminate, op5_lm_scoring, op7_line_dedup, op9_ngram_jaccard_join, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
