@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecinity.llm import decontaminate, jaccard_join, language, language_model, line_dedup, packing
+from vecinity.llm import decontaminate, jaccard_join, language, language_model, line_dedup, packing, warc
 from vecinity.llm.language import held_out
 
 
@@ -45,6 +45,18 @@ def op5_lm_scoring(spark, sf_dir):
     return scored.select("doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op6_warc(spark, sf_dir):
+    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP6_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+x AS (SELECT page_id, octet_length(encode(h)) AS n, sha1(h) AS s, max(page_id) OVER (PARTITION BY h) AS last FROM p),
+b AS (SELECT *, array_to_string(list_transform(range(0, 4), lambda k: array_to_string(list_transform(range(0, 8), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(s, (k * 10 + 1)::INT, 10))::BIGINT >> (35 - 5 * j)::INT) & 31)::INT + 1, 1)), '')), '') AS d FROM x)
+SELECT page_id, n::BIGINT AS payload_bytes, d AS payload_digest, CASE WHEN page_id < last THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < last THEN last END AS refers_to FROM b
+"""
+
+
 def op7_line_dedup(spark, sf_dir):
     out = line_dedup.drop_boilerplate(table(spark, sf_dir, "documents"), counts=True)
     return out.select("doc_id", "n_lines", "n_dropped", F.length("text").cast("long").alias("n_chars_kept"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
@@ -93,8 +105,8 @@ def op10_packing(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language_id, op3_decontaminate, op5_lm_scoring, op7_line_dedup, op9_ngram_jaccard_join, op10_packing)}
+    return {f.__name__: f for f in (op2_language_id, op3_decontaminate, op5_lm_scoring, op6_warc, op7_line_dedup, op9_ngram_jaccard_join, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontaminate": OP3_SQL, "op7_line_dedup": OP7_SQL, "op9_ngram_jaccard_join": OP9_SQL}
+    return {"op3_decontaminate": OP3_SQL, "op6_warc": OP6_SQL, "op7_line_dedup": OP7_SQL, "op9_ngram_jaccard_join": OP9_SQL}
