@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecinity.llm import decontaminate, jaccard_join, language, language_model, line_dedup, packing, warc
+from vecinity.llm import decontaminate, edit_fingerprint, html_extract, jaccard_join, language, language_model, line_dedup, packing, toxicity, warc
 from vecinity.llm.language import held_out
 
 
@@ -15,6 +15,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_extraction(spark, sf_dir):
+    return html_extract.extract_pages(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+
+
 def op2_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     model = language.fit(docs.where(~held_out(F.col("doc_id"), 3, 1)), "text", "lang", "doc_id")
@@ -40,6 +44,10 @@ FROM d LEFT JOIN items USING (r) LEFT JOIN words USING (r)
 """
 
 
+def op4_fingerprints(spark, sf_dir):
+    return edit_fingerprint.compare_with_next(table(spark, sf_dir, "documents"))
+
+
 def op5_lm_scoring(spark, sf_dir):
     scored = language_model.score(table(spark, sf_dir, "documents"), "crc32(coalesce(cast(doc_id as string), '')) % 7 <> 2")
     return scored.select("doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
@@ -75,6 +83,13 @@ FROM d LEFT JOIN kept USING (r)
 """
 
 
+def op8_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id"), 5, 0))
+    model = toxicity.fit(docs, labels)
+    return toxicity.score(docs.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "text"), model, keep=["doc_id", "held_out"])
+
+
 def op9_ngram_jaccard_join(spark, sf_dir):
     return jaccard_join.components(table(spark, sf_dir, "documents"))
 
@@ -105,7 +120,7 @@ def op10_packing(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language_id, op3_decontaminate, op5_lm_scoring, op6_warc, op7_line_dedup, op9_ngram_jaccard_join, op10_packing)}
+    return {f.__name__: f for f in (op1_html_extraction, op2_language_id, op3_decontaminate, op4_fingerprints, op5_lm_scoring, op6_warc, op7_line_dedup, op8_toxicity, op9_ngram_jaccard_join, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
