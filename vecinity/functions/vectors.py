@@ -27,8 +27,9 @@ def dot_sparse_dense(sparse: Column, dense: Column) -> Column:
 
 def dot_sparse(a: Column, b: Column) -> Column:
     """Inner product of two sparse vectors by lookup of the one's indexes in the other."""
-    known = F.map_from_entries(b)
-    return _sum(F.transform(a, lambda e: F.coalesce(known[e["idx"]].cast("double"), F.lit(0.0)) * e["val"].cast("double")))
+    # The map is made once per row: a lambda's argument is evaluated before its body.
+    products = lambda known: _sum(F.transform(a, lambda e: F.coalesce(known[e["idx"]].cast("double"), F.lit(0.0)) * e["val"].cast("double")))
+    return F.get(F.transform(F.array(F.map_from_entries(b)), products), F.lit(0))
 
 
 def norm(v: Column) -> Column:
@@ -93,6 +94,26 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(n, -1) if n else flat.reshape(0, 0)
 
 
+def sparse_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Indexes, values and offsets of an Arrow column of sparse vectors."""
+    entries = column.flatten()
+    offsets = np.asarray(column.offsets, np.int64)
+    return np.asarray(entries.field("idx"), np.int64), np.asarray(entries.field("val"), np.float64), offsets - offsets[0]
+
+
+def sparse_angles(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """Angles of rows with equal places of two columns of sparse vectors, idx ascending."""
+    (ai, av, ao), (bi, bv, bo) = sparse_parts(a), sparse_parts(b)
+    out = np.full(len(a), np.pi / 2)
+    for k in range(len(a)):
+        x, y = slice(ao[k], ao[k + 1]), slice(bo[k], bo[k + 1])
+        _, p, q = np.intersect1d(ai[x], bi[y], assume_unique=True, return_indices=True)
+        product = float(av[x][p] @ bv[y][q])
+        if product:
+            out[k] = np.arccos(np.clip(product / (np.linalg.norm(av[x]) * np.linalg.norm(bv[y])), -1, 1))
+    return out
+
+
 def pairwise(metric: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Distances of all rows of a (queries) to all rows of b, by one matrix product."""
     product = a @ b.T
