@@ -2,9 +2,9 @@
 
 Each task keeps a fixed number of open windows. A document's tokens are cut into pieces of at most `size`; a piece goes
 into the open window that it fits best; when none has room the fullest window is emitted and a new one opened. Windows
-still open at the end of a task are leftovers: a final pass merges them, again best-fit with bounded open windows, in a
-few tasks whose number follows the leftovers. Only piece descriptions (document, start, length) are shuffled in that
-pass, never token ids, so it is small: at most OPEN windows a task.
+still open at the end of a task are leftovers: a final pass merges their pieces, the largest first and again best-fit, in a
+few tasks whose number follows the leftovers (MERGED windows each). Only piece descriptions (document, start, length) are
+shuffled in that pass, never token ids, so it is small: at most OPEN windows a task.
 
 Token ids come from the tokenizer file given. For byte-level BPE whose ranks are its ids, pieces of text between blanks
 are encoded once per task and remembered (at most CACHE entries); a text in which white space stands next to a blank is
@@ -211,25 +211,21 @@ def pack(docs: DataFrame, tokenizer: str, size: int = SIZE, opened: int = OPEN,
     room = 1 << 62
 
     def second(batches):
-        """Leftover windows of this task, largest first: each moves as a whole into the best-fitting open one."""
+        """The pieces of this task's leftover windows, largest first, best-fit into windows of which all stay open."""
         from pyspark import TaskContext
 
         task, number = TaskContext.get().partitionId(), 0
-        found: dict[int, list] = {}
-        for batch in batches:
-            for row in zip(*(batch.column(k).to_pylist() for k in range(7))):
-                found.setdefault(row[5], []).append(row)
+        found = sorted((row for batch in batches for row in zip(*(batch.column(k).to_pylist() for k in range(7)))), key=lambda r: (-r[2], r[5], r[6]))
         bins = Windows(size, 1 << 30)
         done = []
-        for group in sorted(found.values(), key=lambda g: (-sum(r[2] for r in g), g[0][5])):
-            done += bins.add(group, sum(r[2] for r in group))
+        for row in found:
+            done += bins.add(row, row[2])
         rows = []
         for window in [*done, *bins.rest()]:
             offset, name = 0, room | (task << 36) | number
-            for group in window:
-                for r in sorted(group, key=lambda r: r[6]):
-                    rows.append((*r[:5], name, offset))
-                    offset += r[2]
+            for r in window:
+                rows.append((*r[:5], name, offset))
+                offset += r[2]
             number += 1
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*rows) if rows else [[]] * 7)], NAMES)
 
