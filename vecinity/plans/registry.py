@@ -27,7 +27,7 @@ EVERY = 100
 E2 = E2LSH(4, 3, DIM, WIDTH, seed=7)
 SIM = SimHash(4, 8, DIM, seed=7)
 ALL_PAIRS = AllPairsSimHash(6, 6, DIM, seed=7)
-SPARSE = SparseSimHash(10, 4, all_pairs=True)
+SPARSE = SparseSimHash(10, 12, all_pairs=True)
 
 
 def _model(bits: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
