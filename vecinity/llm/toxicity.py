@@ -30,7 +30,7 @@ STEMS = (4, 5, 6)
 MAX_LABELLED = 12_000
 FEATURES = 4096
 MIN_Z = 4.0
-RIDGE = 1e-3
+RIDGE = 1e-4
 PENALTY = 1.0
 #: Identity terms: fixed values.
 IDENTITIES = "women men girls boys woman man gay lesbian straight transgender muslim christian jewish hindu buddhist atheist muslims christians jews black white asian african american european mexican arab chinese indian immigrant immigrants refugee refugees disabled deaf blind old young".split()
@@ -115,11 +115,14 @@ def learn(rows: list[np.ndarray], labels: np.ndarray, pairs: list[tuple[np.ndarr
             sign.append(np.full(len(x), s))
             who.append(np.full(len(x), k))
     cols, sign, who = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((cols, np.int64), (sign, float), (who, np.int64)))
+    # Label 1 is rare: it weighs more by the square root of the ratio.
+    weight = np.where(y > 0, max(1.0, (n0 / n1) ** 0.5), 1.0)
+    weight /= weight.sum()
     w, bias = np.zeros(m), float(np.log(n1 / n0))
     first, second, t = np.zeros(m + 1), np.zeros(m + 1), 0
     for t in range(1, rounds + 1):
         x = bias + np.bincount(of, w[code], len(y))
-        error = (1 / (1 + np.exp(-np.clip(x, -500, 500))) - y) / len(y)
+        error = (1 / (1 + np.exp(-np.clip(x, -500, 500))) - y) * weight
         step = np.append(np.bincount(code, error[of], m) + RIDGE * w, error.sum())
         if len(cols):
             change = np.bincount(who, sign * w[cols], len(pairs))
