@@ -102,7 +102,7 @@ def test_op8_held_out(spark):
     held = held[held.held_out]
     pos, neg = held[held.toxic == 1].score.to_numpy(), held[held.toxic == 0].score.to_numpy()
     assert (pos[:, None] > neg[None, :]).mean() + (pos[:, None] == neg[None, :]).mean() / 2 > 0.85
-    assert held[held.predicted == 1].toxic.mean() > 0.9
+    assert held[held.predicted == 1].toxic.mean() > 0.8 and held[held.toxic == 1].predicted.mean() > 0.8
 
 
 def check_packing(rows, texts):
@@ -136,7 +136,7 @@ def check_packing(rows, texts):
 
 def test_op10_round_trip(spark, docs):
     full = check_packing(list(Q["op10_packing"](spark, SF).toPandas().itertuples()), list(zip(docs.doc_id, docs.text)))
-    assert full > 0.97
+    assert full > 0.98
 
 
 def test_pipeline_equals_plain_version(spark, docs):

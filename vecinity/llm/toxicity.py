@@ -115,8 +115,8 @@ def learn(rows: list[np.ndarray], labels: np.ndarray, pairs: list[tuple[np.ndarr
             sign.append(np.full(len(x), s))
             who.append(np.full(len(x), k))
     cols, sign, who = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((cols, np.int64), (sign, float), (who, np.int64)))
-    # Label 1 is rare: it weighs more by the square root of the ratio.
-    weight = np.where(y > 0, max(1.0, (n0 / n1) ** 0.5), 1.0)
+    # Label 1 is rare: it weighs more by the fourth root of the ratio.
+    weight = np.where(y > 0, max(1.0, (n0 / n1) ** 0.25), 1.0)
     weight /= weight.sum()
     w, bias = np.zeros(m), float(np.log(n1 / n0))
     first, second, t = np.zeros(m + 1), np.zeros(m + 1), 0
