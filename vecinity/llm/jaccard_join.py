@@ -131,7 +131,7 @@ def counted(docs: DataFrame, n: int, parts: int) -> DataFrame:
         several = repeated(tokens)
         local = np.bincount(row[several], minlength=len(ids))
         # Documents themselves: id, set size and what is shared inside this task.
-        yield _batch([(1, int(k % parts), np.stack([keys[g], ids[g], null[g].astype(np.int64), sizes[g], local[g]]).astype("<i8").tobytes(), b"", b"") for k, g in enumerate(np.array_split(np.arange(len(ids)), max(1, len(ids) // 20000)))], _SENT)
+        yield _batch([(1, int(keys[g[0]] % parts) if len(g) else 0, np.stack([keys[g], ids[g], null[g].astype(np.int64), sizes[g], local[g]]).astype("<i8").tobytes(), b"", b"") for g in np.array_split(np.arange(len(ids)), max(1, len(ids) // 20000))], _SENT)
         for kind, pick in ((2, several), (0, ~several)):
             own = np.unique(tokens[pick]) if kind == 2 else tokens[pick]
             owner = row[pick] if kind == 0 else np.zeros(len(own), np.int64)
@@ -151,34 +151,55 @@ def counted(docs: DataFrame, n: int, parts: int) -> DataFrame:
                 rows.append(_sent(0, p, keys[owner[x:y][first]], np.diff(np.append(first, y - x)), own[x:y]))
             yield _batch(rows, _SENT)
 
-    out_schema = [("key", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("rows", pa.int64()), ("shared", pa.int64())]
+    def packed(kind, keys, columns):
+        """One row per home partition of the keys."""
+        home = (keys.astype(U) % U(parts)).astype(np.int64)
+        order = np.argsort(home, kind="stable")
+        ends = np.searchsorted(home[order], np.arange(parts + 1))
+        return [(kind, p, columns[:, order[ends[p] : ends[p + 1]]].astype("<i8").tobytes()) for p in range(parts) if ends[p] < ends[p + 1]]
+
+    home_schema = [("kind", pa.int32()), ("part", pa.int32()), ("rows", pa.binary())]
 
     def receive(batches):
         by: dict[int, list] = {}
+        documents, shared = [], []
         for batch in batches:
             for kind, part, owners, counts, tokens in zip(*(c.to_pylist() for c in batch.columns)):
                 if kind == 1:
-                    keys, ids, null, sizes, local = np.frombuffer(owners, "<i8").reshape(5, -1)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ids, mask=null.astype(bool)), pa.array(sizes), pa.array(np.ones(len(ids), np.int64)), pa.array(local)], [x for x, _ in out_schema])
+                    documents.append(np.frombuffer(owners, "<i8").reshape(5, -1))
                 else:
                     by.setdefault(part, []).append((owners, counts, tokens))
         for rows in by.values():
             tokens = np.concatenate([np.frombuffer(t, "<u4") for _, _, t in rows])
             keys = np.concatenate([np.repeat(np.frombuffer(o, "<i8"), np.frombuffer(c, "<u4")) if o else np.zeros(len(t) // 4, np.int64) for o, c, t in rows])
             owned = np.concatenate([np.full(len(t) // 4, bool(o)) for o, _, t in rows])
-            packed = np.sort((tokens.astype(U) << U(32)) | np.arange(len(tokens), dtype=U))
-            same = np.zeros(len(packed), bool)
-            equal = (packed[1:] >> U(32)) == (packed[:-1] >> U(32))
+            joint = np.sort((tokens.astype(U) << U(32)) | np.arange(len(tokens), dtype=U))
+            same = np.zeros(len(joint), bool)
+            equal = (joint[1:] >> U(32)) == (joint[:-1] >> U(32))
             same[1:] |= equal
             same[:-1] |= equal
-            places = (packed[same] & U(0xFFFFFFFF)).astype(np.int64)
-            found, times = np.unique(keys[places[owned[places]]], return_counts=True)
-            m = len(found)
-            yield pa.RecordBatch.from_arrays([pa.array(found), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(np.zeros(m, np.int64)), pa.array(times.astype(np.int64))], [x for x, _ in out_schema])
+            places = (joint[same] & U(0xFFFFFFFF)).astype(np.int64)
+            shared.append(np.stack(np.unique(keys[places[owned[places]]], return_counts=True)))
+        for kind, found in ((1, documents), (0, shared)):
+            if found:
+                found = np.concatenate(found, 1)
+                yield _batch(packed(kind, found[0], found), home_schema)
+
+    def add(batches):
+        documents, shared = [np.zeros((5, 0), np.int64)], [np.zeros((2, 0), np.int64)]
+        for batch in batches:
+            for kind, _, rows in zip(*(c.to_pylist() for c in batch.columns)):
+                (documents if kind else shared).append(np.frombuffer(rows, "<i8").reshape(5 if kind else 2, -1))
+        keys, ids, null, sizes, local = np.concatenate(documents, 1)
+        known, first, at, rows = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
+        total = np.bincount(at, local, len(known))
+        keys, times = np.concatenate(shared, 1)
+        total += np.bincount(np.searchsorted(known, keys), times, len(known))
+        yield pa.RecordBatch.from_arrays([pa.array(known), pa.array(ids[first], mask=null[first].astype(bool)), pa.array(rows), pa.array(sizes[first]), pa.array(total.astype(np.int64))], ["key", "doc_id", "rows", "n_shingles", "shared"])
 
     sent = docs.mapInArrow(send, SENT)
-    back = sent.repartition(parts, "part").mapInArrow(receive, "key long, doc_id long, n long, rows long, shared long")
-    return back.groupBy("key").agg(F.max("doc_id").alias("doc_id"), F.sum("rows").alias("rows"), F.max("n").alias("n_shingles"), F.sum("shared").alias("shared"))
+    back = sent.repartition(parts, "part").mapInArrow(receive, "kind int, part int, rows binary")
+    return back.repartition(parts, "part").mapInArrow(add, "key long, doc_id long, rows long, n_shingles long, shared long")
 
 
 def sets(docs: DataFrame, n: int) -> DataFrame:
@@ -207,7 +228,7 @@ def ordered(classes: DataFrame, threshold: int, parts: int) -> DataFrame:
 
     def send(batches):
         for batch in batches:
-            reps = np.array(batch.column(0), np.int64)
+            reps, sizes = np.array(batch.column(0), np.int64), np.array(batch.column(1), np.int64)
             blobs = [np.frombuffer(x, "<u8") for x in batch.column(2).to_pylist()]
             owner = np.repeat(np.arange(len(reps)), [len(x) for x in blobs])
             tokens = np.concatenate(blobs) if blobs else np.zeros(0, U)
@@ -219,7 +240,8 @@ def ordered(classes: DataFrame, threshold: int, parts: int) -> DataFrame:
                 own = order[ends[p] : ends[p + 1]]
                 if len(own):
                     first = np.flatnonzero(np.diff(owner[own], prepend=-1))
-                    rows.append(_sent(0, p, reps[owner[own][first]], np.diff(np.append(first, len(own))), tokens[own].astype("<u8")))
+                    who = owner[own][first]
+                    rows.append(_sent(0, p, np.stack([reps[who], sizes[who]]), np.diff(np.append(first, len(own))), tokens[own].astype("<u8")))
             yield _batch(rows, _SENT)
 
     def receive(batches):
@@ -227,42 +249,48 @@ def ordered(classes: DataFrame, threshold: int, parts: int) -> DataFrame:
         if not rows:
             return
         tokens = np.concatenate([np.frombuffer(r[4], "<u8") for r in rows])
-        owner = np.concatenate([np.repeat(np.frombuffer(r[2], "<i8"), np.frombuffer(r[3], "<u4")) for r in rows])
+        owner, size = (np.concatenate([np.repeat(np.frombuffer(r[2], "<i8").reshape(2, -1)[k], np.frombuffer(r[3], "<u4")) for r in rows]) for k in (0, 1))
         rows.clear()
         order = np.argsort(tokens, kind="stable")
-        tokens, owner = tokens[order], owner[order]
+        tokens, owner, size = tokens[order], owner[order], size[order]
         first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
         df = np.diff(np.append(first, len(tokens)))
         df = np.repeat(df, df)
-        keep = df > 1
-        tokens, owner, df = tokens[keep], owner[keep], df[keep]
-        order = np.argsort(owner, kind="stable")
-        tokens, owner, df = tokens[order], owner[order], df[order]
-        first = np.flatnonzero(np.diff(owner, prepend=np.int64(-(1 << 62))))
-        ends = np.append(first, len(owner))
-        for k in range(0, len(first), 5000):
-            out = [(int(owner[x]), tokens[x:y].tobytes(), df[x:y].astype("<u8").tobytes()) for x, y in zip(ends[k : k + 5001][:-1].tolist(), ends[k : k + 5001][1:].tolist())]
-            yield _batch(out, [("rep", pa.int64()), ("tokens", pa.binary()), ("df", pa.binary())])
-
-    slices = classes.select("rep", "n", "tokens").mapInArrow(send, SENT).repartition(parts, "part").mapInArrow(receive, "rep long, tokens binary, df binary")
-    # A class has at most one slice per part.
-    whole = slices.groupBy("rep").agg(F.collect_list(F.struct("tokens", "df")).alias("slices")).join(classes.select("rep", "n"), "rep").select("rep", "n", "slices")
+        keep = np.flatnonzero(df > 1)
+        home = (mix(owner[keep].astype(U)) % U(parts)).astype(np.int64)
+        order = np.argsort(home, kind="stable")
+        keep, ends = keep[order], np.searchsorted(home[order], np.arange(parts + 1))
+        for p in range(parts):
+            k = keep[ends[p] : ends[p + 1]]
+            if len(k):
+                yield _batch([(p, np.stack([owner[k], size[k], df[k], tokens[k].astype(np.int64)]).astype("<i8").tobytes())], [("part", pa.int32()), ("rows", pa.binary())])
 
     def arrange(batches):
-        for batch in batches:
-            rows = []
-            for rep, n, parts_ in zip(*(c.to_pylist() for c in batch.columns)):
-                tokens = np.concatenate([np.frombuffer(s["tokens"], "<u8") for s in parts_])
-                df = np.concatenate([np.frombuffer(s["df"], "<u8") for s in parts_])
-                if len(tokens) < needed(n, threshold):
-                    continue
-                order = np.lexsort((tokens, df))
-                prefix = n - needed(n, threshold) + 1 - (n - len(tokens))
-                if prefix > 0:
-                    rows.append((rep, n, min(prefix, len(tokens)), df[order].tobytes(), tokens[order].tobytes()))
-            yield _batch(rows, [("rep", pa.int64()), ("n", pa.int64()), ("m", pa.int64()), ("counts", pa.binary()), ("tokens", pa.binary())])
-
-    return whole.mapInArrow(arrange, "rep long, n long, m long, counts binary, tokens binary")
+        found = [np.frombuffer(x, "<i8").reshape(4, -1) for batch in batches for x in batch.column(1).to_pylist()]
+        if not found:
+            return
+        owner, size, df, tokens = np.concatenate(found, 1)
+        found.clear()
+        tokens = tokens.astype(U)
+        order = np.lexsort((tokens, df, owner))
+        owner, size, df, tokens = owner[order], size[order], df[order].astype("<u8"), tokens[order].astype("<u8")
+        ends = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1], [True]])).tolist()
+        rows = []
+        for x, y in zip(ends[:-1], ends[1:]):
+            n, m = int(size[x]), y - x
+            prefix = m - needed(n, threshold) + 1  # shingles of one class only come before these
+            if prefix > 0:
+                rows.append((int(owner[x]), n, prefix, df[x:y].tobytes(), tokens[x:y].tobytes()))
+            if len(rows) == 2000:
+                yield _batch(rows, _ORDERED)
+                rows = []
+        yield _batch(rows, _ORDERED)
+
+    slices = classes.select("rep", "n", "tokens").mapInArrow(send, SENT).repartition(parts, "part").mapInArrow(receive, "part int, rows binary")
+    return slices.repartition(parts, "part").mapInArrow(arrange, "rep long, n long, m long, counts binary, tokens binary")
+
+
+_ORDERED = [("rep", pa.int64()), ("n", pa.int64()), ("m", pa.int64()), ("counts", pa.binary()), ("tokens", pa.binary())]
 
 
 def runs(tokens: np.ndarray, low: np.ndarray, high: np.ndarray, reps: np.ndarray, threshold: int):
