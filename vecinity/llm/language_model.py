@@ -68,28 +68,38 @@ class Block:
     def __init__(self, text: pa.Array, train: np.ndarray, hot: np.ndarray, parts: int):
         self.seen, self.at = tokens(*text_bytes(text))
         self.pairs = bigrams(self.seen, self.at)
-        weight = np.repeat(train.astype(np.float64), np.diff(self.at))
+        weight = np.repeat(train.astype(np.float32), np.diff(self.at))
         self.keys, self.where, self.counts, self.cuts = [], [], [], []
         for keys, context in ((self.seen, False), (self.pairs, True)):
-            own, where = np.unique(keys, return_inverse=True)
+            order = np.argsort(keys, kind="stable")
+            ranked = keys[order]
+            new = np.ones(len(keys), bool)
+            new[1:] = ranked[1:] != ranked[:-1]
+            own = ranked[new]
+            del ranked
+            where = np.empty(len(keys), np.int32)
+            where[order] = np.cumsum(new, dtype=np.int32) - 1
+            del order, new
             part = shares(own, hot, parts, context)
-            order = np.argsort(part, kind="stable")
-            place = np.empty(len(own), np.int64)
-            place[order] = np.arange(len(own))
+            order = np.argsort(part, kind="stable").astype(np.int32)
+            self.cuts.append(np.searchsorted(part[order], np.arange(parts + 1)))
+            del part
+            place = np.empty(len(own), np.int32)
+            place[order] = np.arange(len(own), dtype=np.int32)
             self.keys.append(own[order])
+            self.counts.append(np.bincount(where, weight, len(own)).astype(np.uint32)[order])
             self.where.append(place[where])
-            self.counts.append(np.bincount(where, weight, len(own)).astype(np.int64)[order])
-            self.cuts.append(np.searchsorted(part[order], np.arange(parts + 1)))
 
     def requests(self, block: int, parts: int):
+        """Per part: words and their counts; pairs as contexts, the successors of each and their counts."""
+        (own, pairs), (counts, pair_counts), (cuts, pair_cuts) = self.keys, self.counts, self.cuts
         for p in range(parts):
-            out = [p, block]
-            for keys, counts, cuts in zip(self.keys, self.counts, self.cuts):
-                out += [keys[cuts[p] : cuts[p + 1]].astype("<u8").tobytes(), counts[cuts[p] : cuts[p + 1]].astype("<u4").tobytes()]
-            yield tuple(out)
+            a, b, c, d = cuts[p], cuts[p + 1], pair_cuts[p], pair_cuts[p + 1]
+            contexts, kinds = np.unique(pairs[c:d] >> U(32), return_counts=True)
+            yield (p, block, own[a:b].astype("<u8").tobytes(), counts[a:b].astype("<u4").tobytes(), contexts.astype("<u4").tobytes(), kinds.astype("<u4").tobytes(), (pairs[c:d] & LOW32).astype("<u4").tobytes(), pair_counts[c:d].astype("<u4").tobytes())
 
 
-REQUEST = [("part", pa.int32()), ("block", pa.int32()), ("words", pa.binary()), ("word_counts", pa.binary()), ("pairs", pa.binary()), ("pair_counts", pa.binary())]
+REQUEST = [("part", pa.int32()), ("block", pa.int32()), ("words", pa.binary()), ("word_counts", pa.binary()), ("contexts", pa.binary()), ("kinds", pa.binary()), ("successors", pa.binary()), ("pair_counts", pa.binary())]
 ANSWER = [("block", pa.int32()), ("part", pa.int32()), ("word_counts", pa.binary()), ("pair_counts", pa.binary()), ("successors", pa.binary()), ("uses", pa.binary()), ("hot_successors", pa.binary()), ("hot_uses", pa.binary()), ("n", pa.int64()), ("v", pa.int64())]
 
 
@@ -104,18 +114,21 @@ def batch_of(rows, schema):
 
 def totals(rows: list[tuple], hot: np.ndarray):
     """What a part answers to the requests that it got."""
+    number = lambda r, k, kind="<u4": np.frombuffer(r[k], kind)
+    pairs = lambda r: (np.repeat(number(r, 4), number(r, 5)).astype(U) << U(32)) | number(r, 6)
     asked = []
     n = v = 0
-    for k in (2, 4):
-        keys = [np.frombuffer(r[k], "<u8") for r in rows]
-        counts = np.concatenate([np.frombuffer(r[k + 1], "<u4") for r in rows]).astype(np.float64)
+    for kind in (0, 1):
+        keys = [pairs(r) if kind else number(r, 2, "<u8") for r in rows]
+        counts = np.concatenate([number(r, 7 if kind else 3) for r in rows]).astype(np.float64)
+        ends = np.cumsum([len(x) for x in keys])[:-1]
         known, at = np.unique(np.concatenate(keys), return_inverse=True)
+        del keys
         sums = np.bincount(at, counts, len(known)).astype(np.int64)
-        if k == 2:
+        if not kind:
             n, v = int(sums.sum()), int((sums > 0).sum())
-        ends = np.cumsum([len(x) for x in keys])[:-1]
-        asked.append((keys, known, sums, np.split(at, ends)))
-    _, known, sums, _ = asked[1]
+        asked.append((known, sums, np.split(at, ends)))
+    known, sums, _ = asked[1]
     contexts, first = np.unique(known >> U(32), return_index=True)
     if len(contexts):
         successors, uses = np.add.reduceat((sums > 0).astype(np.int64), first), np.add.reduceat(sums, first)
@@ -125,9 +138,8 @@ def totals(rows: list[tuple], hot: np.ndarray):
     here = contexts[hot_at] == hot if len(contexts) else np.zeros(len(hot), bool)
     hot_s, hot_u = (np.where(here, x[hot_at], 0) if len(contexts) else np.zeros(len(hot), np.int64) for x in (successors, uses))
     for k, r in enumerate(rows):
-        own = np.unique(asked[1][0][k] >> U(32))
-        at = np.searchsorted(contexts, own)
-        yield (r[1], r[0], asked[0][2][asked[0][3][k]].astype("<u4").tobytes(), sums[asked[1][3][k]].astype("<u4").tobytes(), successors[at].astype("<u4").tobytes(), uses[at].astype("<u4").tobytes(), hot_s.astype("<i8").tobytes(), hot_u.astype("<i8").tobytes(), n, v)
+        at = np.searchsorted(contexts, number(r, 4))
+        yield (r[1], r[0], asked[0][1][asked[0][2][k]].astype("<u4").tobytes(), sums[asked[1][2][k]].astype("<u4").tobytes(), successors[at].astype("<u4").tobytes(), uses[at].astype("<u4").tobytes(), hot_s.astype("<i8").tobytes(), hot_u.astype("<i8").tobytes(), n, v)
 
 
 class Automaton:
