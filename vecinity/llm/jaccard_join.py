@@ -368,94 +368,108 @@ def cluster_edges(sets_: DataFrame, threshold: int, parts: int) -> DataFrame:
 
 
 class Tree:
-    """A prefix tree over ordered sets of local token numbers, nodes in breadth-first order."""
+    """A prefix tree over ordered sets of local token numbers; a node holds a run of tokens that all sets below it share."""
 
     def __init__(self, sequences: list[np.ndarray], sizes: np.ndarray):
-        self.order = sorted(range(len(sequences)), key=lambda i: sequences[i].astype(">u4").tobytes())
-        tokens, depths, parents, end = [], [], [], np.full(len(sequences), -1)
-        path = np.zeros(max((len(s) for s in sequences), default=0) + 1, np.int64)
-        used, before = 0, np.zeros(0, np.int64)
-        for i in self.order:
+        m = len(sequences)
+        self.order = sorted(range(m), key=lambda i: sequences[i].astype(">u4").tobytes())
+        # Node 0 is the root. A node's run is tokens up to `depth` of the sequence `of`, from its parent's depth on.
+        depth, of, parent, born, end, stack = [0], [0], [-1], [0], [0] * m, [0]
+        before = np.zeros(0, np.int64)
+        for place, i in enumerate(self.order):
             s = sequences[i]
             k = min(len(s), len(before))
             differ = np.flatnonzero(s[:k] != before[:k])
             k = int(differ[0]) if len(differ) else k
-            new = len(s) - k
-            if new:
-                path[k : len(s)] = np.arange(used, used + new)
-                tokens.append(s[k:])
-                depths.append(np.arange(k, len(s)))
-                parents.append(np.concatenate([[path[k - 1] if k else -1], path[k : len(s) - 1]]))
-                used += new
-            if len(s):
-                end[i] = path[len(s) - 1]
+            last = -1
+            while depth[stack[-1]] > k:
+                last = stack.pop()
+            if depth[stack[-1]] < k:  # the shared path ends inside a run: cut it
+                depth.append(k)
+                of.append(of[last])
+                parent.append(stack[-1])
+                born.append(born[last])
+                parent[last] = len(depth) - 1
+                stack.append(len(depth) - 1)
+            if len(s) > k:
+                depth.append(len(s))
+                of.append(i)
+                parent.append(stack[-1])
+                born.append(place)
+                stack.append(len(depth) - 1)
+            end[i] = stack[-1]
             before = s
-        depth = np.concatenate(depths) if depths else np.zeros(0, np.int64)
-        bfs = np.argsort(depth, kind="stable")
-        place = np.empty(used, np.int64)
-        place[bfs] = np.arange(used)
-        self.token = (np.concatenate(tokens) if tokens else np.zeros(0, np.int64))[bfs]
-        parent = (np.concatenate(parents) if parents else np.zeros(0, np.int64))[bfs]
-        self.parent = np.where(parent >= 0, place[parent], -1)
-        self.end = np.where(end >= 0, place[end], -1)
-        self.levels = np.searchsorted(depth[bfs], np.arange((depth.max() + 2) if used else 1))
-        self.children = np.bincount(self.parent[self.parent >= 0], minlength=used)
-        self.first = np.full(used, 0, np.int64)
-        below = np.flatnonzero(self.parent >= 0)
-        if len(below):
-            head = below[np.flatnonzero(np.diff(self.parent[below], prepend=-2))]
-            self.first[self.parent[head]] = head
+        n = len(depth)
         # Bounds of what lies at or below a node: the longest set stored and the smallest size.
-        self.longest, self.least = np.zeros(used, np.int64), np.full(used, 1 << 60)
-        for i, s in enumerate(sequences):
-            if self.end[i] >= 0:
-                self.longest[self.end[i]] = max(self.longest[self.end[i]], len(s))
-                self.least[self.end[i]] = min(self.least[self.end[i]], sizes[i])
-        for d in range(len(self.levels) - 2, 0, -1):
-            a, b = self.levels[d], self.levels[d + 1]
-            up = self.parent[a:b]
-            head = np.flatnonzero(np.diff(up, prepend=-2))
-            self.longest[up[head]] = np.maximum(self.longest[up[head]], np.maximum.reduceat(self.longest[a:b], head))
-            self.least[up[head]] = np.minimum(self.least[up[head]], np.minimum.reduceat(self.least[a:b], head))
-        self.sets_at: dict[int, list[int]] = {}
+        longest, least, self.sets_at = [0] * n, [1 << 60] * n, {}
         for i in self.order:
-            self.sets_at.setdefault(int(self.end[i]), []).append(i)
-        self.ends_here = np.zeros(used, bool)
-        self.ends_here[self.end[self.end >= 0]] = True
-
-    def probe(self, own: np.ndarray, n: int, member: np.ndarray, threshold: int):
-        """(set, overlap) of every set that links with the ordered set own of size n; member marks own's tokens."""
-        if not len(self.token):
-            return
-        nodes = np.arange(self.levels[0], self.levels[1])
-        overlap = np.zeros(len(nodes), np.int64)
-        depth = 0
-        while len(nodes):
-            token = self.token[nodes]
-            overlap = overlap + member[token]
-            depth += 1
-            rest = len(own) - np.searchsorted(own, token, "right")
-            bound = overlap + np.minimum(rest, self.longest[nodes] - depth)
+            longest[end[i]] = max(longest[end[i]], len(sequences[i]))
+            least[end[i]] = min(least[end[i]], int(sizes[i]))
+            self.sets_at.setdefault(end[i], []).append(i)
+        for v in sorted(range(1, n), key=lambda v: -depth[v]):
+            p = parent[v]
+            longest[p], least[p] = max(longest[p], longest[v]), min(least[p], least[v])
+        self.depth, self.born, self.longest, self.least, self.parent = (np.array(x, np.int64) for x in (depth, born, longest, least, parent))
+        self.here = np.zeros(n, bool)
+        self.here[list(self.sets_at)] = True
+        self.flat = np.concatenate([*sequences, np.zeros(1, np.int64)])
+        base = np.concatenate([[0], np.cumsum([len(s) for s in sequences])])[:-1][np.array(of)] if m else np.zeros(n, np.int64)
+        self.begin, self.stop = base + np.where(self.parent >= 0, self.depth[self.parent], 0), base + self.depth
+        self.kids = np.argsort(self.parent, kind="stable")
+        cuts = np.searchsorted(self.parent[self.kids], np.arange(n + 1))
+        self.first, self.count = cuts[:-1], np.diff(cuts)
+
+    def children(self, nodes: np.ndarray, overlap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        count = self.count[nodes]
+        at = np.repeat(self.first[nodes] - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
+        return self.kids[at], np.repeat(overlap, count)
+
+    def probe(self, own: np.ndarray, n: int, member: np.ndarray, threshold: int, before: int | None = None):
+        """(set, overlap) of every set that may link with the ordered set own of size n; member marks own's tokens.
+
+        The walk goes down from the root by generations of nodes. With `before`, only subtrees that begin before that place of the order
+        are walked."""
+        nodes, overlap = np.zeros(1, np.int64), np.zeros(1, np.int64)
+        if self.here[0]:
+            for i in self.sets_at[0]:
+                yield i, 0
+        while True:
+            nodes, overlap = self.children(nodes, overlap)
+            if before is not None:
+                early = self.born[nodes] <= before
+                nodes, overlap = nodes[early], overlap[early]
+            if not len(nodes):
+                return
+            # What can still be shared when the run begins, and again when it ends.
+            rest = len(own) - np.searchsorted(own, self.flat[self.begin[nodes]])
+            bound = overlap + np.minimum(rest, self.longest[nodes] - self.depth[self.parent[nodes]])
             alive = (100 + threshold) * bound >= threshold * (n + self.least[nodes])
             nodes, overlap = nodes[alive], overlap[alive]
-            for k in np.flatnonzero(self.ends_here[nodes]).tolist():
+            if not len(nodes):
+                return
+            begin, size = self.begin[nodes], self.stop[nodes] - self.begin[nodes]
+            ends = np.cumsum(size)
+            shared = member[self.flat[np.repeat(begin - ends + size, size) + np.arange(int(ends[-1]))]]
+            overlap = overlap + np.add.reduceat(shared, ends - size)
+            rest = len(own) - np.searchsorted(own, self.flat[self.stop[nodes] - 1], "right")
+            bound = overlap + np.minimum(rest, self.longest[nodes] - self.depth[nodes])
+            alive = (100 + threshold) * bound >= threshold * (n + self.least[nodes])
+            nodes, overlap = nodes[alive], overlap[alive]
+            for k in np.flatnonzero(self.here[nodes]).tolist():
                 for i in self.sets_at[int(nodes[k])]:
                     yield i, int(overlap[k])
-            count = self.children[nodes]
-            total = int(count.sum())
-            if not total:
-                return
-            ends = np.cumsum(count)
-            overlap = np.repeat(overlap, count)
-            nodes = np.repeat(self.first[nodes] - (ends - count), count) + np.arange(total)
 
 
 def join_group(reps: np.ndarray, sizes: np.ndarray, blobs: list[np.ndarray], counts: list[np.ndarray], sides: np.ndarray, threshold: int, every: bool) -> list[tuple[int, int]]:
     """Links inside a group; with two sides only those between them. Unless `every`, links that tie nothing new are left out."""
     tokens, df = np.concatenate(blobs), np.concatenate(counts)
     # The tree takes the global order from its frequent end, where sets share the longest paths.
-    known, at = np.unique(np.stack([np.iinfo(np.int64).max - df.astype(np.int64), tokens.astype(np.int64)], 1), axis=0, return_inverse=True)
-    at = at.reshape(-1)
+    order = np.lexsort((tokens, -df.astype(np.int64)))
+    new = np.ones(len(order), bool)
+    new[1:] = tokens[order[1:]] != tokens[order[:-1]]
+    known = int(new.sum())
+    at = np.empty(len(order), np.int64)
+    at[order] = np.cumsum(new) - 1
     cuts = np.cumsum([len(b) for b in blobs])[:-1]
     sequences = [np.sort(x) for x in np.split(at, cuts)]
     across = bool(sides.any()) and not bool(sides.all())
@@ -470,14 +484,16 @@ def join_group(reps: np.ndarray, sizes: np.ndarray, blobs: list[np.ndarray], cou
             x = root[x]
         return x
 
-    member = np.zeros(len(known), np.int64)
+    member = np.zeros(known, np.int64)
     links = []
+    place = np.empty(len(stored), np.int64)
+    place[tree.order] = np.arange(len(stored))
     for x in probes.tolist():
         own = sequences[x]
         member[own] = 1
-        for k, overlap in tree.probe(own, int(sizes[x]), member, threshold):
+        for k, overlap in tree.probe(own, int(sizes[x]), member, threshold, None if across else int(place[x])):
             y = int(stored[k])
-            if (across or y < x) and (100 + threshold) * overlap >= threshold * (int(sizes[x]) + int(sizes[y])):
+            if (across or place[k] < place[x]) and (100 + threshold) * overlap >= threshold * (int(sizes[x]) + int(sizes[y])):
                 a, b = find(x), find(y)
                 if every or a != b:
                     links.append((int(reps[x]), int(reps[y])))
