@@ -572,7 +572,8 @@ def similar(docs: DataFrame, n: int = N, threshold: int = THRESHOLD, key: str =
     sets_ = saved(ordered(classes, threshold, parts), "jaccard-ordered")
     clusters = connected_components(cluster_edges(sets_, threshold, parts))
     links = saved(clustered_links(sets_, clusters, threshold, block, parts, every), "jaccard-links")
-    reps = found.groupBy("a", "b").agg(F.min("doc_id").alias("rep"))
+    # Written first: joined as a table, Spark can split the rows of a hot class.
+    reps = saved(found.groupBy("a", "b").agg(F.min("doc_id").alias("rep")), "jaccard-reps")
     members = found.select("doc_id", "a", "b").join(reps, ["a", "b"]).select("doc_id", "rep").distinct()
     members = saved(members, "jaccard-members")
     several = members.groupBy("doc_id").agg(F.min("rep").alias("src"), F.max("rep").alias("last"), F.collect_set("rep").alias("all")).where("src <> last").select("src", F.explode("all").alias("dst"))
