@@ -51,6 +51,22 @@ def test_linear_scan_is_exact(items):
         assert [r["item_id"] for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])] == order
 
 
+@pytest.mark.parametrize("metric", ["e2", "sq_e2", "angular"])
+def test_copies_at_the_boundary_go_by_id(spark, metric):
+    """300 copies of one vector, the smallest ids last, nearer to the queries than all others but two."""
+    one = RNG.standard_normal(8)
+    rows = [(5000 + i, one) for i in range(299, -1, -1)] + [(i, one * 3 + x) for i, x in enumerate(RNG.standard_normal((500, 8)) * 9)]
+    rows += [(9000, one * 1.001 + 0.001 * RNG.standard_normal(8)), (9001, one)]
+    df = spark.createDataFrame([(i, [float(v) for v in x]) for i, x in rows], "id long, vec array<double>").coalesce(1)
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows])
+    asked = (9000, 9001, 5007, 5299, 3)
+    got = search.linear_scan(df.where(F.col("id").isin(*asked)), df, 20, metric).collect()
+    for q in asked:
+        d = vectors.rowwise(metric, np.repeat(x[ids == q], len(x), 0), x)
+        want = [i for i in ids[np.lexsort((ids, d))] if i != q][:20]
+        assert [r["item_id"] for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])] == want
+
+
 def test_blocks_of_queries_give_the_same(items, monkeypatch):
     whole = {tuple(r) for r in search.linear_scan(items, items, 3).collect()}
     monkeypatch.setattr(search, "BLOCK_VALUES", 100)
