@@ -177,6 +177,29 @@ def test_fingerprint_classes(spark):
     assert got == {**{k: k for k in range(6)}, 10: 0, 11: 1, 12: 2, 20: 0, 30: 30, 31: 30}
 
 
+def test_fingerprint_classes_of_a_shared_opening(spark, monkeypatch):
+    """Two near copies share bands in an opening alone, whose buckets have unlike smallest and largest ids; blocks of any size give the same."""
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("abcdefghij klmno pqrst") for _ in range(n))
+    opening, rest = word(700), word(500)
+    others = [opening + word(500) for _ in range(8)]
+    copies = [opening + "".join(rng.choice("uvwxyz") if rng.random() < rate else c for c in rest) for rate in (0.06, 0.08, 0.1, 0.12) for _ in range(100)]
+    keys = [set(edit_fingerprint.bands(f)) for f in edit_fingerprint.fingerprints([opening + rest, *others, *copies])]
+    hot = set.intersection(*keys[:9])
+    whole = edit_fingerprint.fingerprints([opening + rest, *copies], whole=True)
+    near = [c for c, k, w in zip(copies, keys[9:], whole[1:]) if k & keys[0] <= hot and edit_fingerprint.likeness(whole[0], w) > 0.66]
+    rows = [(k, t) for k, t in enumerate(others[:4])] + [(10, opening + rest), (11, near[0])] + [(20 + k, t) for k, t in enumerate(others[4:])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for block in (256, 4):
+        monkeypatch.setattr(edit_fingerprint, "BLOCK", block, raising=False)
+        assert {r["doc_id"]: r["class_id"] for r in edit_fingerprint.near_duplicates(frame, 0.65).collect()} == {k: 10 if k == 11 else k for k, _ in rows}
+
+
+def test_fingerprint_is_part_of_the_whole_walk():
+    texts = ["", "a", "some words " * 40, "longer text, other words " * 300]
+    assert [edit_fingerprint.sampled(w, len(t)) for w, t in zip(edit_fingerprint.fingerprints(texts, whole=True), texts)] == edit_fingerprint.fingerprints(texts)
+
+
 def html(spark, *pages):
     frame = spark.createDataFrame([(k, "u", p) for k, p in enumerate(pages)], "page_id long, url string, html string")
     return [r["text"] for r in html_extract.extract_pages(frame).orderBy("page_id").collect()]

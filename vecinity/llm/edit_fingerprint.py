@@ -7,8 +7,9 @@ afterwards. A walk takes about two steps a character and goes over the whole tex
 A fingerprint keeps a hash digit of what the walk sees at sampled steps. Steps have levels: of a level's steps about half belong to the
 next. A text uses the level at which about 100 to 200 steps are left, so fingerprints are short for any length, and two of different
 levels are compared on the steps of the coarser one. It is written as the level, a colon and the digits. `likeness` is the share of
-equal digits, corrected for chance. `near_duplicates` bands fingerprints, ties texts of a band bucket to its first and neighbouring
-members and verifies every tie.
+equal digits, corrected for chance. `near_duplicates` bands fingerprints, and within a band bucket compares all texts by their whole walks,
+all steps of them; pairs that are tied already through others are left out, which changes no class. Buckets above BLOCK texts or BLOCK_BYTES
+are cut into blocks whose pairs are separate tasks. Texts that share no band are not compared.
 
 Defined results: a null text is the empty text; the empty text's fingerprint is `0:`, like itself (1) and unlike all others (0); equal ids
 stand in the order of their texts, null ids before all others; in a table of one row a document is its own next one; an empty table
@@ -32,6 +33,8 @@ SAMPLES = 100
 CHANCE = 0.125
 #: Characters that walk together.
 TOGETHER = 12_000_000
+#: The same where all steps are kept.
+TOGETHER_WHOLE = 1_000_000
 STEPS = 4096
 DIGITS = np.frombuffer(b"0123456789abcdef", np.uint8)
 
@@ -56,23 +59,24 @@ def level_of(sizes: np.ndarray) -> np.ndarray:
     return np.maximum(0, np.floor(np.log2(np.maximum(2 * sizes, 1) / SAMPLES))).astype(np.int64)
 
 
-def fingerprints(texts: list[str]) -> list[str]:
-    """Fingerprint of each text."""
+def fingerprints(texts: list[str], whole: bool = False) -> list[str]:
+    """Fingerprint of each text; whole: at level 0, with the digits of all steps."""
+    most = TOGETHER_WHOLE if whole else TOGETHER
     out: list[str] = [""] * len(texts)
     order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
     k = 0
     while k < len(order):
         group, size = [], 0
-        while k < len(order) and (not group or size + len(texts[order[k]]) <= TOGETHER):
+        while k < len(order) and (not group or size + len(texts[order[k]]) <= most):
             group.append(order[k])
             size += len(texts[order[k]]) + 1
             k += 1
-        for i, f in zip(group, _walk([texts[i] for i in group])):
+        for i, f in zip(group, _walk([texts[i] for i in group], whole)):
             out[i] = f
     return out
 
 
-def _walk(texts: list[str]) -> list[str]:
+def _walk(texts: list[str], whole: bool = False) -> list[str]:
     """Texts from long to short walk in step."""
     sizes = np.array([len(t) for t in texts])
     n = len(texts)
@@ -80,7 +84,7 @@ def _walk(texts: list[str]) -> list[str]:
     begin = np.cumsum(sizes + 1) - sizes - 1
     kind = ((codes.astype(np.uint32) * np.uint32(0x9E3779B1)) >> np.uint32(26)).astype(np.uint8)
     kind[begin + sizes] = 64
-    own = level_of(sizes)
+    own = np.zeros(n, np.int64) if whole else level_of(sizes)
     at, end = begin.copy(), begin + sizes
     alive = int((sizes > 0).sum())  # those that still walk: a prefix, if long ones walk longest; checked below
     seen: list[list] = [[] for _ in range(n)]
@@ -240,35 +244,89 @@ def bands(fingerprint: str) -> list[str]:
     return out
 
 
-def near_duplicates(docs: DataFrame, least: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id and class_id: the smallest id among texts tied by likeness of at least `least`."""
+#: Texts and bytes of walks in a block of a bucket.
+BLOCK = 256
+BLOCK_BYTES = 16 << 20
+
+
+def sampled(whole: str, size: int) -> str:
+    """The fingerprint of a text of that size from its whole walk."""
+    level = int(level_of(np.array([size]))[0])
+    return f"{level}:{at_level(whole, level).tobytes().decode()}"
+
+
+def ties(walks: list[np.ndarray], side: list[int], least: float) -> list[tuple[int, int]]:
+    """Pairs of places with likeness of at least `least`, as many as tie what all such pairs would; with two sides only pairs across."""
+    root = list(range(len(walks)))
+
+    def find(i):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    out, across = [], len(set(side)) > 1
+    for i in range(len(walks)):
+        for j in range(i):
+            if across and side[i] == side[j]:
+                continue
+            a, b = find(i), find(j)
+            if a == b:
+                continue
+            x, y = walks[i], walks[j]
+            m, n = min(len(x), len(y)), max(len(x), len(y))
+            if m and (np.count_nonzero(x[:m] == y[:m]) / n - CHANCE) / (1 - CHANCE) >= least:
+                root[a] = b
+                out.append((i, j))
+    return out
 
-    def make(batches):
-        for batch in batches:
-            prints = fingerprints([t or "" for t in batch.column(1).to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.string())], ["doc_id", "fingerprint"])
 
+def near_duplicates(docs: DataFrame, least: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id and class_id: the smallest id among texts tied by likeness of whole walks of at least `least`."""
     from vecinity.llm.common import saved
 
-    prints = saved(docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(make, "doc_id long, fingerprint string"), "fingerprints")
-    classes = prints.where("doc_id is not null").groupBy("fingerprint").agg(F.min("doc_id").alias("rep"))
+    parts = partitions(docs.sparkSession)
 
-    def cut(batches):
+    def make(batches):
         for batch in batches:
-            keys = [bands(f) for f in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(keys, pa.list_(pa.string()))], ["rep", "keys"])
-
-    banded = saved(classes.mapInArrow(cut, "rep long, keys array<string>").select("rep", F.explode("keys").alias("band")), "bands")
-    least_of = banded.groupBy("band").agg(F.min("rep").alias("head"), F.max("rep").alias("tail")).where("head < tail")
-    ties = banded.join(least_of, "band").select(F.explode(F.array(F.struct(F.col("rep").alias("a"), F.col("head").alias("b")), F.struct(F.col("rep").alias("a"), F.col("tail").alias("b")))).alias("t")).select("t.a", "t.b").where("a <> b").distinct()
-    by = lambda c: classes.select(F.col("rep").alias(c), F.col("fingerprint").alias(f"f{c}"))
-    both = ties.join(by("a"), "a").join(by("b"), "b").select("a", "b", "fa", "fb")
+            texts = batch.column(2).to_pylist()
+            walks = fingerprints(texts, whole=True)
+            keys = [bands(sampled(w, len(t))) for w, t in zip(walks, texts)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([w[2:].encode() for w in walks], pa.binary()), pa.array(keys, pa.list_(pa.string()))], ["doc_id", "same", "walk", "keys"])
+
+    told = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    ids = told.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("same"))
+    # Equal texts are one class; only one of them walks.
+    firsts = told.where("doc_id is not null").withColumn("same", F.sha2(F.col("text").cast("binary"), 256)).groupBy("same").agg(F.min("doc_id").alias("rep"), F.first("text").alias("text"))
+    walked = saved(firsts.select(F.col("rep").alias("doc_id"), "same", "text").mapInArrow(make, "doc_id long, same string, walk binary, keys array<string>").withColumnRenamed("doc_id", "rep"), "walks")
+    banded = walked.select("rep", "same", F.length("walk").alias("size"), F.explode("keys").alias("band"))
+    # Of buckets with the same members one is enough.
+    members = F.struct(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("same")).alias("x"), F.sum(F.xxhash64(F.lit(1), "same").cast("decimal(38,0)")).alias("s"))
+    buckets = banded.groupBy("band").agg(members.alias("members"), F.sum("size").alias("bytes")).where("members.n > 1").groupBy("members").agg(F.min("band").alias("band"), F.max("bytes").alias("bytes"))
+    blocks = buckets.select("band", F.ceil(F.greatest(F.col("members.n") / BLOCK, F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("same", F.lit(2)), F.col("blocks")).cast("int")
+    placed = banded.join(blocks, "band").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tasks = saved(placed.select("same", "own", F.concat_ws("/", "band", F.least("own", "other").cast("string"), F.greatest("own", "other").cast("string")).alias("task")), "tasks")
+    rows = tasks.join(walked.select("same", "rep", "walk"), "same").select("task", "rep", "own", "walk").repartition(parts, "task").sortWithinPartitions("task")
 
     def verify(batches):
+        held, now = [], None
+
+        def finish():
+            found = ties([np.frombuffer(r[3], np.uint8) for r in held], [r[2] for r in held], least)
+            pairs = [(held[i][1], held[j][1]) for i, j in found]
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in pairs], pa.int64()) for k in (0, 1)], ["src", "dst"])
+
         for batch in batches:
-            rows = [(a, b) for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns)) if likeness(x, y) >= least]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], ["src", "dst"])
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if row[0] != now:
+                    if held:
+                        yield finish()
+                    held, now = [], row[0]
+                held.append(row)
+        if held:
+            yield finish()
 
-    labels = connected_components(both.mapInArrow(verify, "src long, dst long"))
-    of = classes.join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left").select("fingerprint", F.coalesce("label", "rep").alias("class_id"))
-    return prints.join(of, "fingerprint", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"))
+    labels = connected_components(rows.mapInArrow(verify, "src long, dst long"))
+    of = walked.select("same", "rep").join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left").select("same", F.coalesce("label", "rep").alias("class_id"))
+    return ids.join(of, "same", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"))
