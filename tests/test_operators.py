@@ -177,6 +177,21 @@ def test_long_path_is_one_component(spark):
     assert {tuple(r) for r in connected_components(path).select("label").distinct().collect()} == {(0,)}
 
 
+@pytest.mark.parametrize("meet", [256, 7])
+def test_descent_joins_the_whole_reverse_list_of_a_hub(spark, monkeypatch, meet):
+    """Vertices 1 to 60 know only the hub 0; 59 and 60, its furthest reverse neighbours, are copies of each other."""
+    monkeypatch.setattr(graph, "MEET", meet, raising=False)
+    x = [(0, [0.0, 0.0])] + [(i, [float(i), float(i % 7)]) for i in range(1, 59)] + [(59, [100.0, 0.0]), (60, [100.0, 0.0])]
+    vecs = spark.createDataFrame(x, "id long, vec array<double>")
+    edges = spark.createDataFrame([(i, 0, v[0] ** 2 + v[1] ** 2) for i, v in x[1:]], "src long, dst long, dist double")
+    got = {(r["src"], r["dst"]) for r in graph.descent_round(edges, vecs, 3).collect()}
+    assert {(59, 60), (60, 59)} <= got
+    at = np.array([v for _, v in x])
+    d = ((at[1:, None] - at[None]) ** 2).sum(2)
+    want = {(i, int(j)) for i in range(1, 61) for j in [j for j in np.lexsort((np.arange(61), d[i - 1])) if j != i][:3]}
+    assert {(a, b) for a, b in got if a} == want
+
+
 def test_descent_improves(items):
     truth = graph.exact_graph(items, 8)
     start = graph.random_graph(items, 8, "sq_e2")

@@ -72,16 +72,32 @@ def random_graph(items: DataFrame, k: int, metric: str, seed: int = 0) -> DataFr
     return nearest(with_distance(pairs, items, metric), k)
 
 
-def descent_round(graph: DataFrame, items: DataFrame, k: int, metric: str = "sq_e2") -> DataFrame:
+#: Members of a vertex's surroundings that meet in one task.
+MEET = 256
+
+
+def pairs_around(around: DataFrame) -> DataFrame:
+    """Distinct (src, dst), src < dst, of all pairs of dst that stand around the same src.
+
+    A hub's surroundings are cut into blocks of about MEET; each pair of blocks is a key of its own, so no task holds them all."""
+    blocks = around.groupBy("src").agg(F.ceil(F.count(F.lit(1)) / MEET).cast("int").alias("blocks"))
+    placed = around.join(blocks, "src").withColumn("own", F.pmod(F.xxhash64("dst"), F.col("blocks")).cast("int"))
+    told = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    keys = [F.col("src"), F.least("own", "other").alias("ba"), F.greatest("own", "other").alias("bb")]
+    left, right = told.select(*keys, F.col("own").alias("oa"), F.col("dst").alias("a")), told.select(*keys, F.col("own").alias("ob"), F.col("dst").alias("b"))
+    met = left.join(right, ["src", "ba", "bb"]).where("a < b and (ba = bb or oa <> ob)")
+    return met.select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
+
+
+def descent_round(graph: DataFrame, items: DataFrame, k: int, metric: str = "sq_e2", most_back: int | None = None) -> DataFrame:
     """One round of neighbour descent: all pairs among a vertex's neighbours and reverse neighbours compete for the lists of both.
 
-    A hub's reverse list is cut to its k nearest, so that pairs per vertex stay under (2k)^2 whatever the hub's degree."""
+    The reverse list is whole unless most_back cuts it to its so many nearest."""
     back = reverse(graph.select("src", "dst", "dist"))
-    back = back.withColumn("r", F.row_number().over(Window.partitionBy("src").orderBy("dist", "dst"))).where(F.col("r") <= k).select("src", "dst")
-    around = graph.select("src", "dst").unionAll(back).where("src <> dst").distinct()
-    left, right = around.select("src", F.col("dst").alias("a")), around.select("src", F.col("dst").alias("b"))
-    pairs = left.join(right, "src").where("a < b").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
-    new = with_distance(pairs, items, metric)
+    if most_back is not None:
+        back = back.withColumn("r", F.row_number().over(Window.partitionBy("src").orderBy("dist", "dst"))).where(F.col("r") <= most_back)
+    around = graph.select("src", "dst").unionAll(back.select("src", "dst")).where("src <> dst").distinct()
+    new = with_distance(pairs_around(around), items, metric)
     every = graph.select("src", "dst", "dist").unionAll(new).unionAll(new.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "dist"))
     return nearest(every, k)
 

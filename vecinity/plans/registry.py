@@ -459,7 +459,7 @@ def random_graph(spark, sf_dir):
 @query(f"{DESCENT_SQL} SELECT src, dst, round(d * d, 6) AS dist FROM al QUALIFY row_number() OVER (PARTITION BY src ORDER BY d, dst) <= 10")
 def nn_descent_1iter(spark, sf_dir):
     all_ = items(spark, sf_dir)
-    return rounded(graph.descent_round(saved(graph.random_graph(all_, 10, "sq_e2"), "random"), all_, 10), "dist")
+    return rounded(graph.descent_round(saved(graph.random_graph(all_, 10, "sq_e2"), "random"), all_, 10, most_back=10), "dist")  # as its SQL has it
 
 
 @query()
