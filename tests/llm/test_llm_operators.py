@@ -195,6 +195,14 @@ def test_fingerprint_classes_of_a_shared_opening(spark, monkeypatch):
         assert {r["doc_id"]: r["class_id"] for r in edit_fingerprint.near_duplicates(frame, 0.65).collect()} == {k: 10 if k == 11 else k for k, _ in rows}
 
 
+def test_swaps_take_all_sentences_and_all_terms():
+    sentences = [f"{toxicity.IDENTITIES[k % 38]} of town {k} met" for k in range(600)]
+    assert len(toxicity.swaps(". ".join(sentences))) == 1200
+    seen = {x.tobytes() for s in sentences for _, x in toxicity.swaps(s)[1:]}
+    terms = [set(toxicity.of_text(t).tolist()) for t in toxicity.IDENTITIES]
+    assert len(seen) > 500 and all(any(t <= set(np.frombuffer(x, np.int64).tolist()) for x in seen) for t in terms)
+
+
 def test_fingerprint_is_part_of_the_whole_walk():
     texts = ["", "a", "some words " * 40, "longer text, other words " * 300]
     assert [edit_fingerprint.sampled(w, len(t)) for w, t in zip(edit_fingerprint.fingerprints(texts, whole=True), texts)] == edit_fingerprint.fingerprints(texts)

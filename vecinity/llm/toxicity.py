@@ -16,6 +16,7 @@ scores; an empty table gives an empty table; further columns pass through, excep
 from __future__ import annotations
 
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -62,17 +63,25 @@ def of_text(text: str) -> np.ndarray:
 TERM = re.compile(rf"\b({'|'.join(sorted(IDENTITIES, key=len, reverse=True))})\b", re.I)
 
 
-def swaps(text: str, most: int = 20) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Features of sentences that name a group and of the same with another term; a text gives `most` sentences at most."""
+def swaps(text: str) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Features of all sentences that name a group and of the same with another term, dealt over all terms by a hash of the sentence."""
     out = []
     if TERM.search(text):
-        for k, sentence in enumerate([s for s in re.split(r"[.!?\n]+", text) if TERM.search(s)][:most]):
+        for sentence in (s for s in re.split(r"[.!?\n]+", text) if TERM.search(s)):
             own = of_text(sentence)
-            for other in (NEUTRAL, IDENTITIES[k % len(IDENTITIES)]):
+            for other in (NEUTRAL, substitute(sentence)):
                 out.append((own, of_text(TERM.sub(other, sentence))))
     return out
 
 
+def substitute(sentence: str) -> str:
+    """The term that takes the place of those of a sentence; not one that stands in it unless all do."""
+    k = zlib.crc32(sentence.encode("utf-8", "surrogatepass"))
+    named = {t.lower() for t in TERM.findall(sentence)}
+    free = [t for t in IDENTITIES if t not in named] or IDENTITIES
+    return free[k % len(free)]
+
+
 class Model:
     def __init__(self, picked: np.ndarray, weights: np.ndarray, bias: float):
         self.slot = np.full(DIMENSIONS, len(picked), np.int64)
