@@ -1,6 +1,7 @@
 """Edge cases of the corpus operators: nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -91,31 +92,60 @@ def test_language_model_cases(spark, odd, none):
 
 
 def test_model_probabilities_add_to_one(spark):
+    """Over all words, the end and the unknown word's share, after each of several contexts."""
     rng = random.Random(1)
     rows = [(k, " ".join(rng.choice("abcde") for _ in range(rng.randrange(8)))) for k in range(40)]
-    asked = [(100 + k, w) for k, w in enumerate(["a", "b", "c", "d", "e", ""])]
+    contexts = ["", "a", "b c", "e e d", "a b c d"]
+    asked = [(100 + 10 * k + j, f"{h} {w}") for k, h in enumerate(contexts) for j, w in enumerate(["a", "b", "c", "d", "e", "zz", ""])]
     frame = spark.createDataFrame(rows + asked, "doc_id long, text string")
-    got = {r["doc_id"]: r for r in language_model.score(frame, "doc_id < 100").collect()}
-    two = {w: 10 ** (got[100 + k]["score"]) for k, w in enumerate("abcde")}
-    # P(first = w) by dividing the end's share out: sum over w and the end after the start, plus the unknown word's share.
-    ends = {}
+    tail = spark.createDataFrame([(1000 + n, f"{asked[n][1]} zz zz") for n in range(len(asked))], "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in language_model.score(frame.unionAll(tail), "doc_id < 100").collect()}
+    # `h w zz zz` without what follows w: zz after w, zz after zz and the end after zz are all read at the root, by a known failure weight.
     train = [[*t.split(), "$"] for _, t in rows]
-    from collections import Counter
-
-    c, p = Counter(w for t in train for w in t), Counter((h, w) for t in train for h, w in zip(["^", *t], t))
-    n, v = sum(c.values()), len(c)
-    uni = lambda w: (c[w] + 1) / (n + v + 1)
-
-    def prob(h, w):
-        uses = sum(x for (a, _), x in p.items() if a == h)
-        kinds = sum(1 for (a, _) in p if a == h)
-        return max(p[h, w] - 0.75, 0) / uses + 0.75 * kinds / uses * uni(w)
-
-    for w in "abcde":
-        ends[w] = prob(w, "$")
-    first = sum(two[w] / ends[w] for w in "abcde") + 10 ** got[105]["score"]
-    kinds = len({w for (h, w) in p if h == "^"})
-    assert first + 0.75 * kinds / len(train) / (n + v + 1) == pytest.approx(1.0)
+    c = Counter(w for t in train for w in t)
+    two, three = Counter(p for t in train for p in zip(["^", *t], t)), Counter(p for t in train for p in zip(["^", *t], t, t[1:]))
+    n, v, (k1, k2) = sum(c.values()), len(c), language_model.PRIOR
+    c["^"] = len(train)
+
+    def prob(g, h, w):
+        p = (two[h, w] + k1 * (c[w] + 1) / (n + v + 1)) / (c[h] + k1)
+        return (three[g, h, w] + k2 * p) / (two[g, h] + k2) if g else p
+
+    for k, h in enumerate(contexts):
+        seen = [None, "^", *h.split()]
+        total = 0.0
+        for j, w in enumerate(["a", "b", "c", "d", "e", "zz"]):
+            path = [*seen[1:], w, "$"]
+            whole = sum(np.log10(prob(x, y, z)) for x, y, z in zip([None, *path], path, path[1:]))
+            assert got[100 + 10 * k + j] == pytest.approx(whole)
+            total += prob(seen[-2], seen[-1], w)
+        assert total + prob(seen[-2], seen[-1], "$") == pytest.approx(1.0)
+
+
+@given(st.sets(st.integers(0, (1 << 44) - 1), max_size=300), st.integers(1, 9))
+@settings(max_examples=50, deadline=None)
+def test_requests_keep_all_keys(keys, parts):
+    keys, bounds = np.array(sorted(keys), np.uint64), language_model.edges(3, parts)
+    cuts = np.searchsorted(keys, bounds)
+    back = [language_model.unpack_keys(language_model.pack_keys(keys[cuts[p] : cuts[p + 1]], 3, bounds[p]), 3, bounds[p]) for p in range(parts)]
+    assert np.concatenate(back).tolist() == keys.tolist()
+
+
+def test_totals_beyond_32_bits():
+    """Two blocks with counts of billions each; their sum, the totals of the corpus and the answers hold 64 bits."""
+    text = pa.array(["big word word"])
+    row = list(next(language_model.requests(text, np.array([True]), 0, 1, 3)))
+    sizes = [int.from_bytes(x[:4], "little") for x in row[2:5]]
+    counts = language_model.unpack_counts(row[5], sum(sizes))
+    row[5] = language_model.pack_counts(counts * 3_000_000_000)
+    answers = list(language_model.totals([tuple(row), (0, 1, *row[2:])], 1, 3))
+    assert [a[0] for a in answers] == [0, 1] and answers[0][3:] == (4 * 6_000_000_000, 3)
+    assert (language_model.unpack_counts(answers[1][2], sum(sizes)) == counts * 6_000_000_000).all()
+
+
+def test_blocks_of_any_size_give_the_same_scores(spark, odd):
+    want = sorted((repr(r["doc_id"]), round(r["score"], 9), r["n_known"]) for r in language_model.score(odd, "doc_id <> 3").collect())
+    assert sorted((repr(r["doc_id"]), round(r["score"], 9), r["n_known"]) for r in language_model.score(odd, "doc_id <> 3", block_bytes=40).collect()) == want
 
 
 def test_toxicity_cases(spark, odd, none):

@@ -16,7 +16,7 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 from oracle import same
 
-from vecinity.llm import queries
+from vecinity.llm import language_model, queries
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
@@ -72,23 +72,27 @@ def test_op4_against_plain_edits(spark, docs):
 def test_op5_equals_brute_force(spark, docs):
     words = {i: WORD.findall((t or "").translate(LOW)) + ["\0end"] for i, t in zip(docs.doc_id, docs.text)}
     train = [words[i] for i in words if crc(i, 7) != 2]
-    c, pairs, uses, kinds = Counter(w for t in train for w in t), Counter(), Counter(), Counter()
+    c, two, three = Counter(w for t in train for w in t), Counter(), Counter()
     for t in train:
-        pairs.update(zip(["\0start", *t], t))
-    for (h, _), n in pairs.items():
-        uses[h] += n
-        kinds[h] += 1
+        two.update(zip(["\0start", *t], t))
+        three.update(zip(["\0start", *t], t, t[1:]))
     n, v = sum(c.values()), len(c)
+    one, start = Counter(c), len(train)
+    one["\0start"] = start
+    (k1, k2) = language_model.PRIOR
     got = Q["op5_lm_scoring"](spark, SF).toPandas()
     assert len(got) == len(docs)
     for r in got.itertuples():
         t, base, score = words[r.doc_id], 0.0, 0.0
-        for h, w in zip(["\0start", *t], t):
+        for g, h, w in zip([None, "\0start", *t], ["\0start", *t], t):
             p = (c[w] + 1) / (n + v + 1)
             base += log10(p)
-            score += log10(max(pairs[h, w] - 0.75, 0) / uses[h] + 0.75 * kinds[h] / uses[h] * p if uses[h] else p)
+            p = (two[h, w] + k1 * p) / (one[h] + k1)
+            score += log10((three[g, h, w] + k2 * p) / (two[g, h] + k2) if g else p)
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (crc(r.doc_id, 7) == 2, len(t), sum(c[w] > 0 for w in t), n)
         assert r.base_score == pytest.approx(base) and r.score == pytest.approx(score)
+    held = got[got.held_out]
+    assert held.score.sum() > held.base_score.sum()
 
 
 def test_op8_held_out(spark):

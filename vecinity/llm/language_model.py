@@ -1,38 +1,45 @@
-"""A bigram backoff automaton over the whole corpus, scored block by block.
-
-Tokens are the words [^\\x20\\x09-\\x0D]+ of a text after A-Z became a-z, and one end. The model: for a context h with training
-count c(h) and n(h) different successors, P(w|h) = max(c(h,w) - D, 0) / c(h) + D n(h) / c(h) P(w), and
-P(w) = (c(w) + 1) / (N + V + 1), which keeps one share for unknown words. As an automaton: a state per context, an arc per seen
-bigram, and a failure arc of weight D n(h) / c(h) to the root, whose arcs are the unigrams. In a bigram automaton an arc leads
-to the state of its word, so one pass over a block's tokens from left to right knows every state from the token before.
-
-The model grows with the corpus and is never gathered anywhere. Documents are dealt into blocks; a block asks for its distinct
-unigrams and bigrams, with its own training counts (one request per block and part of the key space); the part adds the counts of
-all blocks and answers each block with the totals of what it asked for; the block then builds the part of the automaton that its
-texts can reach, and traverses it. Blocks and parts are as many as the session's shuffle partitions. A context is a 32-bit class
-of words; counts, successors and arcs all use the class, so probabilities still add to 1. Contexts' successors meet in one
-part, except for the HOT most frequent contexts of a sample (that choice only routes keys and doesn't change results), whose
-bigrams are spread over all parts and whose totals every part sends to every block.
+"""A trigram backoff automaton over the whole corpus, scored block by block.
+
+Tokens are the words [^\\x20\\x09-\\x0D]+ of a text after A-Z became a-z, and one end. The model is smoothed by a Dirichlet prior of the
+next lower order: P(w|h) = (c(hw) + K P(w|h')) / (c(h) + K) with h' the context h without its first word, K = PRIOR of the order, and
+P(w) = (c(w) + 1) / (N + V + 1), which keeps one share for unknown words. It needs nothing but counts of n-grams: c(h) is the count of h itself.
+
+As an automaton: a state per seen context of one or two words and a root; an arc per seen n-gram, to the state of the longest seen context that
+ends with its word; a failure arc of weight K / (c(h) + K) from each state to that of h'. The root has an arc for every word. A token is read by
+following failure arcs until an arc fits. A block's tokens are read in lanes of LANE tokens in step, each lane carrying its state; a lane begins two
+tokens early at the root, which leads to the state that a walk from the start of the text has there.
+
+The model grows with the corpus and is never gathered anywhere. Rows are dealt into blocks of about BLOCK_BYTES, which pass through a task one at a
+time. A block asks for its distinct n-grams with its own training counts, one request for each part of the key space; a part adds the counts of
+all blocks and answers each block with the totals of what it asked for; the block then builds the automaton that its texts can reach. Keys are hashes and
+parts are ranges of them, so a frequent n-gram is one key of each block and no part is larger than others. Words have 60 bits; n-grams have as many bits
+as make a collision of one rarer than 2**-16, in steps of a byte by the size of the corpus. Requests hold sorted keys as low bytes and the unary gaps of
+the rest (some 26 bits a key); counts are a byte each, 64 bits where they don't fit.
 
 Defined results: a null or empty text has one token, the end; with no training rows every word is unknown; a null id hashes as
-the empty string and scores like any other; repeated rows are counted and scored each; an empty table gives an empty table.
+the empty string and scores like any other; repeated rows are counted and scored each; an empty table gives an empty table. The table is read
+twice and must come in the same order of rows both times (as files do); if it doesn't, a block that differs fails.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecinity.llm.common import SPACED, U, chunks, mix, partitions, text_bytes, words
+from vecinity.llm.common import PLACES, SPACED, U, chunks, mix, partitions, text_bytes, words
 
-DISCOUNT = 0.75
-HOT = 64
-SAMPLE = 2000
+#: Weight of the lower order's distribution, in tokens, for contexts of one and two words.
+PRIOR = (500.0, 20.0)
+BLOCK_BYTES = 4 << 20
+LANE = 256
 END = mix(np.array([0x656E64], U))[0]
-START = np.uint64(0x7374617274 << 20)
-LOW32 = U(0xFFFFFFFF)
+START = mix(np.array([0x7374617274], U))[0]
+#: Low bytes of a word key, and bits of a key beyond its low bytes.
+WORD_LOW, HIGH = 5, 20
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -46,61 +53,74 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return (np.concatenate(out) if out else np.zeros(0, U)), np.concatenate(at)
 
 
-def bigrams(seen: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Context class and word of each token in 64 bits."""
-    before = np.empty(len(seen), U)
-    before[1:] = seen[:-1]
-    before[at[:-1]] = START
-    return (before >> U(32) << U(32)) | (seen & LOW32)
-
-
-def shares(keys: np.ndarray, hot: np.ndarray, parts: int, context: bool) -> np.ndarray:
-    """The part that counts a key."""
-    if not context:
-        return (mix(keys) % U(parts)).astype(np.int64)
-    top = keys >> U(32)
-    return (np.where(np.isin(top, hot), mix(keys), mix(top)) % U(parts)).astype(np.int64)
+def low_bytes(size: int) -> int:
+    """Low bytes of n-gram keys for a corpus of so many bytes: at most one in 2**16 n-grams meets another."""
+    return min(5, max(2, -(-(max(size // 2, 1).bit_length() + 16 - HIGH) // 8)))
 
 
-class Block:
-    """The distinct keys of a block by part, with its training counts."""
+class Grams:
+    """The n-gram keys at each token of a block of texts."""
 
-    def __init__(self, text: pa.Array, train: np.ndarray, hot: np.ndarray, parts: int):
+    def __init__(self, text: pa.Array, low: int):
         self.seen, self.at = tokens(*text_bytes(text))
-        self.pairs = bigrams(self.seen, self.at)
-        weight = np.repeat(train.astype(np.float32), np.diff(self.at))
-        self.keys, self.where, self.counts, self.cuts = [], [], [], []
-        for keys, context in ((self.seen, False), (self.pairs, True)):
-            order = np.argsort(keys, kind="stable")
-            ranked = keys[order]
-            new = np.ones(len(keys), bool)
-            new[1:] = ranked[1:] != ranked[:-1]
-            own = ranked[new]
-            del ranked
-            where = np.empty(len(keys), np.int32)
-            where[order] = np.cumsum(new, dtype=np.int32) - 1
-            del order, new
-            part = shares(own, hot, parts, context)
-            order = np.argsort(part, kind="stable").astype(np.int32)
-            self.cuts.append(np.searchsorted(part[order], np.arange(parts + 1)))
-            del part
-            place = np.empty(len(own), np.int32)
-            place[order] = np.arange(len(own), dtype=np.int32)
-            self.keys.append(own[order])
-            self.counts.append(np.bincount(where, weight, len(own)).astype(np.uint32)[order])
-            self.where.append(place[where])
-
-    def requests(self, block: int, parts: int):
-        """Per part: words and their counts; pairs as contexts, the successors of each and their counts."""
-        (own, pairs), (counts, pair_counts), (cuts, pair_cuts) = self.keys, self.counts, self.cuts
-        for p in range(parts):
-            a, b, c, d = cuts[p], cuts[p + 1], pair_cuts[p], pair_cuts[p + 1]
-            contexts, kinds = np.unique(pairs[c:d] >> U(32), return_counts=True)
-            yield (p, block, own[a:b].astype("<u8").tobytes(), counts[a:b].astype("<u4").tobytes(), contexts.astype("<u4").tobytes(), kinds.astype("<u4").tobytes(), (pairs[c:d] & LOW32).astype("<u4").tobytes(), pair_counts[c:d].astype("<u4").tobytes())
-
-
-REQUEST = [("part", pa.int32()), ("block", pa.int32()), ("words", pa.binary()), ("word_counts", pa.binary()), ("contexts", pa.binary()), ("kinds", pa.binary()), ("successors", pa.binary()), ("pair_counts", pa.binary())]
-ANSWER = [("block", pa.int32()), ("part", pa.int32()), ("word_counts", pa.binary()), ("pair_counts", pa.binary()), ("successors", pa.binary()), ("uses", pa.binary()), ("hot_successors", pa.binary()), ("hot_uses", pa.binary()), ("n", pa.int64()), ("v", pa.int64())]
+        n = len(self.seen)
+        self.begins = np.zeros(n, bool)
+        self.begins[self.at[:-1]] = True
+        before = np.empty(n, U)
+        before[1:] = self.seen[:-1]
+        before[self.begins] = START
+        second = np.empty(n, U)
+        second[1:] = before[:-1]
+        cut = U(64 - 8 * low - HIGH)
+        pairs = before * U(PLACES[0]) + self.seen * U(PLACES[1])
+        #: Words (and one start), pairs with the word before, and triples, which first tokens have none of.
+        self.keys = [np.append(self.seen, START) >> U(64 - 8 * WORD_LOW - HIGH), mix(pairs) >> cut, mix(second * U(PLACES[2]) + pairs) >> cut]
+        self.widths = [WORD_LOW, low, low]
+
+
+def edges(width: int, parts: int) -> np.ndarray:
+    """The first key of each part, and one past the last key."""
+    bits = 8 * width + HIGH
+    return np.array([(p << bits) // parts for p in range(parts + 1)], U)
+
+
+def pack_keys(keys: np.ndarray, width: int, first: int) -> bytes:
+    """Ascending distinct keys from first on."""
+    if not len(keys):
+        return b""
+    high = ((keys >> U(8 * width)) - U(int(first) >> 8 * width)).astype(np.int64) + np.arange(len(keys))
+    marks = np.zeros(int(high[-1]) + 1, np.uint8)
+    marks[high] = 1
+    low = keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
+    return len(keys).to_bytes(4, "little") + np.packbits(marks).tobytes() + np.ascontiguousarray(low).tobytes()
+
+
+def unpack_keys(blob: bytes, width: int, first: int) -> np.ndarray:
+    if not blob:
+        return np.zeros(0, U)
+    n = int.from_bytes(blob[:4], "little")
+    tail = len(blob) - n * width
+    high = np.flatnonzero(np.unpackbits(np.frombuffer(blob, np.uint8, tail - 4, 4)))[:n] - np.arange(n)
+    low = np.zeros((n, 8), np.uint8)
+    low[:, :width] = np.frombuffer(blob, np.uint8, n * width, tail).reshape(n, width)
+    return (high.astype(U) + U(int(first) >> 8 * width) << U(8 * width)) | low.view("<u8").reshape(-1)
+
+
+def pack_counts(counts: np.ndarray) -> bytes:
+    """A byte a count; 255 stands for one of the 64-bit numbers that follow."""
+    large = counts >= 255
+    return zlib.compress(np.where(large, 255, counts).astype(np.uint8).tobytes() + counts[large].astype("<u8").tobytes(), 1)
+
+
+def unpack_counts(blob: bytes, n: int) -> np.ndarray:
+    raw = zlib.decompress(blob)
+    out = np.frombuffer(raw, np.uint8, n).astype(np.int64)
+    out[out == 255] = np.frombuffer(raw, "<u8", -1, n).astype(np.int64) if len(raw) > n else 0
+    return out
+
+
+REQUEST = [("part", pa.int32()), ("block", pa.int32()), ("words", pa.binary()), ("pairs", pa.binary()), ("triples", pa.binary()), ("counts", pa.binary())]
+ANSWER = [("block", pa.int32()), ("part", pa.int32()), ("totals", pa.binary()), ("n", pa.int64()), ("v", pa.int64())]
 
 
 def ddl(schema) -> str:
@@ -112,94 +132,189 @@ def batch_of(rows, schema):
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, schema)], [n for n, _ in schema])
 
 
-def totals(rows: list[tuple], hot: np.ndarray):
+def requests(text: pa.Array, train: np.ndarray, block: int, parts: int, low: int):
+    """Per part: the distinct keys of a block in its range, and their training counts."""
+    grams = Grams(text, low)
+    weight = np.repeat(train.astype(U), np.diff(grams.at))
+    blobs, counts = [], []
+    for k, (keys, width) in enumerate(zip(grams.keys, grams.widths)):
+        flag = np.append(weight, U(0)) if k == 0 else weight
+        marked = (keys << U(1)) | flag
+        ranked = np.sort(marked[~grams.begins] if k == 2 else marked)
+        own = ranked >> U(1)
+        first = np.flatnonzero(np.concatenate([np.ones(min(len(own), 1), bool), own[1:] != own[:-1]]))
+        own, times = own[first], np.add.reduceat((ranked & U(1)).astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
+        if k == 0:
+            times[np.searchsorted(own, START >> U(64 - 8 * WORD_LOW - HIGH))] = int(train.sum())
+        bounds = edges(width, parts)
+        cuts = np.searchsorted(own, bounds)
+        blobs.append([pack_keys(own[cuts[p] : cuts[p + 1]], width, bounds[p]) for p in range(parts)])
+        counts.append([times[cuts[p] : cuts[p + 1]] for p in range(parts)])
+    for p in range(parts):
+        yield (p, block, blobs[0][p], blobs[1][p], blobs[2][p], pack_counts(np.concatenate([c[p] for c in counts])))
+
+
+def totals(rows: list[tuple], parts: int, low: int):
     """What a part answers to the requests that it got."""
-    number = lambda r, k, kind="<u4": np.frombuffer(r[k], kind)
-    pairs = lambda r: (np.repeat(number(r, 4), number(r, 5)).astype(U) << U(32)) | number(r, 6)
-    asked = []
+    part = rows[0][0]
+    widths = (WORD_LOW, low, low)
+    sizes = [[int.from_bytes(r[2 + k][:4], "little") for k in range(3)] for r in rows]
+    told = [np.split(unpack_counts(r[5], sum(s)), np.cumsum(s)[:-1]) for r, s in zip(rows, sizes)]
     n = v = 0
-    for kind in (0, 1):
-        keys = [pairs(r) if kind else number(r, 2, "<u8") for r in rows]
-        counts = np.concatenate([number(r, 7 if kind else 3) for r in rows]).astype(np.float64)
-        ends = np.cumsum([len(x) for x in keys])[:-1]
-        known, at = np.unique(np.concatenate(keys), return_inverse=True)
-        del keys
-        sums = np.bincount(at, counts, len(known)).astype(np.int64)
-        if not kind:
-            n, v = int(sums.sum()), int((sums > 0).sum())
-        asked.append((known, sums, np.split(at, ends)))
-    known, sums, _ = asked[1]
-    contexts, first = np.unique(known >> U(32), return_index=True)
-    if len(contexts):
-        successors, uses = np.add.reduceat((sums > 0).astype(np.int64), first), np.add.reduceat(sums, first)
-    else:
-        successors = uses = np.zeros(0, np.int64)
-    hot_at = np.minimum(np.searchsorted(contexts, hot), max(len(contexts) - 1, 0))
-    here = contexts[hot_at] == hot if len(contexts) else np.zeros(len(hot), bool)
-    hot_s, hot_u = (np.where(here, x[hot_at], 0) if len(contexts) else np.zeros(len(hot), np.int64) for x in (successors, uses))
+    found = []
+    for k, width in enumerate(widths):
+        first = edges(width, parts)[part]
+        keys = [unpack_keys(r[2 + k], width, first) for r in rows]
+        flat = np.concatenate(keys)
+        order = np.argsort(flat)
+        flat = flat[order]
+        head = np.flatnonzero(np.concatenate([np.ones(min(len(flat), 1), bool), flat[1:] != flat[:-1]]))
+        counts = np.concatenate([t[k] for t in told])[order]
+        sums = np.add.reduceat(counts, head) if len(head) else np.zeros(0, np.int64)
+        known = flat[head]
+        del flat, order, counts
+        if k == 0:
+            words_ = known != START >> U(64 - 8 * WORD_LOW - HIGH)
+            n, v = int(sums[words_].sum()), int((sums[words_] > 0).sum())
+        found.append([sums[np.searchsorted(known, x)] for x in keys])
     for k, r in enumerate(rows):
-        at = np.searchsorted(contexts, number(r, 4))
-        yield (r[1], r[0], asked[0][1][asked[0][2][k]].astype("<u4").tobytes(), sums[asked[1][2][k]].astype("<u4").tobytes(), successors[at].astype("<u4").tobytes(), uses[at].astype("<u4").tobytes(), hot_s.astype("<i8").tobytes(), hot_u.astype("<i8").tobytes(), n, v)
+        yield (r[1], part, pack_counts(np.concatenate([f[k] for f in found])), n, v)
 
 
 class Automaton:
-    """The reachable part of the model: states, arcs with weights, failure weights, and the root's arcs, all in log10."""
-
-    def __init__(self, word_counts, pair_keys, pair_counts, states, successors, uses, n: int, v: int):
-        self.root = np.log10((word_counts + 1.0) / (n + v + 1.0))
-        self.states = states
-        with np.errstate(divide="ignore", invalid="ignore"):
-            self.failure = np.where(uses > 0, np.log10(DISCOUNT * successors / np.maximum(uses, 1)), 0.0)
-        arc = pair_counts > 0
-        self.arcs = pair_keys[arc]
-        of = np.searchsorted(states, self.arcs >> U(32))
-        self.direct = np.maximum(pair_counts[arc] - DISCOUNT, 0) / np.maximum(uses[of], 1)
-
-    def traverse(self, pairs: np.ndarray, words_at: np.ndarray) -> np.ndarray:
-        """Weight of each step: from the state of the token before, by its arc if it has one, else by the failure arc and the root's."""
-        state = np.searchsorted(self.states, pairs >> U(32))
-        below = self.failure[state] + self.root[words_at]
-        if not len(self.arcs):
-            return below
-        at = np.minimum(np.searchsorted(self.arcs, pairs), len(self.arcs) - 1)
-        return np.where(self.arcs[at] == pairs, np.log10(self.direct[at] + 10.0**below), below)
-
-
-def hot_contexts(source: DataFrame) -> np.ndarray:
-    """Classes of the most frequent contexts in about SAMPLE documents; they only route keys."""
-    n = source.count()
-    sample = source.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) <= (1 << 30) * SAMPLE / max(n, 1)).select("text")
-
-    def count(batches):
-        for batch in batches:
-            seen, at = tokens(*text_bytes(batch.column(0)))
-            top, times = np.unique(bigrams(seen, at) >> U(32), return_counts=True)
-            keep = np.argsort(-times, kind="stable")[: 4 * HOT]
-            yield pa.RecordBatch.from_arrays([pa.array(top[keep].astype(np.int64)), pa.array(times[keep])], ["c", "n"])
-
-    rows = sample.mapInArrow(count, "c long, n long").groupBy("c").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "c").limit(HOT).collect()
-    return np.sort(np.array([r["c"] for r in rows], U))
-
-
-def score(docs: DataFrame, train: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The part of the model that a block reaches; weights in log10. State 0 is the root, 1 + w stands for the context w, and those of pairs follow."""
+
+    def __init__(self, w: np.ndarray, begins: np.ndarray, start: int, pair: np.ndarray, counts: tuple, triples: np.ndarray, n: int, v: int, prior: tuple):
+        """w, pair: word and pair class of each token; counts: those of words, pairs and triples; triples: a token at which each triple stands."""
+        ones, twos, threes = counts
+        self.size, m = len(ones), len(twos)
+        before = np.empty(len(w), np.int64)
+        before[1:] = w[:-1]
+        before[begins] = start
+        at = np.empty(m, np.int64)
+        at[pair] = np.arange(len(w))
+        root = (ones + 1.0) / (n + v + 1.0)
+        context = ones[before[at]]
+        two = np.where(context > 0, (twos + prior[0] * root[w[at]]) / (context + prior[0]), root[w[at]])
+        above = pair[triples - 1]
+        three = (threes + prior[1] * two[pair[triples]]) / (twos[above] + prior[1])
+        seen, joint = np.flatnonzero(twos > 0), np.flatnonzero((threes > 0) & (twos[above] > 0))
+        keys = np.concatenate([(1 + before[at[seen]]) * self.size + w[at[seen]], (1 + self.size + above[joint]) * self.size + w[triples[joint]]])
+        order = np.argsort(keys)
+        self.keys = keys[order]
+        self.weight = np.log10(np.concatenate([two[seen], three[joint]]))[order]
+        self.to = (1 + self.size + np.concatenate([seen, pair[triples[joint]]]))[order]
+        self.root, self.root_to = np.log10(root), np.where(ones > 0, 1 + np.arange(self.size), 0)
+        self.failure = np.concatenate([np.zeros(1, np.int64), np.zeros(self.size, np.int64), 1 + w[at]])
+        self.failure_weight = np.log10(np.concatenate([np.ones(1), prior[0] / (ones + prior[0]), prior[1] / (twos + prior[1])]))
+        self.start = 1 + start if ones[start] > 0 else 0
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Weight of reading one word from each state, failure arcs included, and the states after it."""
+        total, after, now = np.zeros(len(word)), np.empty(len(word), np.int64), state.copy()
+        left = np.arange(len(word))
+        while len(left):
+            top = now[left] == 0
+            done = left[top]
+            total[done] += self.root[word[done]]
+            after[done] = self.root_to[word[done]]
+            left = left[~top]
+            if not len(left):
+                break
+            key = now[left] * self.size + word[left]
+            at = np.minimum(np.searchsorted(self.keys, key), max(len(self.keys) - 1, 0))
+            fits = self.keys[at] == key if len(self.keys) else np.zeros(len(left), bool)
+            done = left[fits]
+            total[done] += self.weight[at[fits]]
+            after[done] = self.to[at[fits]]
+            left = left[~fits]
+            total[left] += self.failure_weight[now[left]]
+            now[left] = self.failure[now[left]]
+        return total, after
+
+    def traverse(self, w: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        """Weight of each token, from left to right."""
+        n = len(w)
+        first = np.arange(0, n, LANE)
+        out, state = np.zeros(len(first) * LANE), np.zeros(len(first), np.int64)
+        for j in range(-2, min(LANE, n)):
+            at = np.clip(first + j, 0, n - 1)
+            state[begins[at]] = self.start
+            weight, state = self.step(state, w[at])
+            if j >= 0:
+                out[first + j] = weight
+        return out[:n]
+
+
+def classes(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ascending distinct keys, and the place of each key among them."""
+    order = np.argsort(keys)
+    ranked = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = ranked[1:] != ranked[:-1]
+    where = np.empty(len(keys), np.int64)
+    where[order] = np.cumsum(new) - 1
+    return ranked[new], where
+
+
+def scored(text: pa.Array, answers: list[tuple], parts: int, low: int, prior: tuple = PRIOR):
+    """Of each text of a block: tokens, known ones, training tokens, base and model score."""
+    grams = Grams(text, low)
+    (own, where), (pairs, pair) = classes(grams.keys[0]), classes(grams.keys[1])
+    later = np.flatnonzero(~grams.begins)
+    triples, which = classes(grams.keys[2][later])
+    where_at = np.empty(len(triples), np.int64)
+    where_at[which] = later
+    found = [[], [], []]
+    keys = (own, pairs, triples)
+    cuts = [np.searchsorted(x, edges(width, parts)) for x, width in zip(keys, grams.widths)]
+    if sorted(a[1] for a in answers) != list(range(parts)):
+        raise RuntimeError("a block without answers of all parts")
+    for _, p, blob, _, _ in sorted(answers, key=lambda a: a[1]):
+        sizes = [int(c[p + 1] - c[p]) for c in cuts]
+        for k, got in enumerate(np.split(unpack_counts(blob, sum(sizes)), np.cumsum(sizes)[:-1])):
+            found[k].append(got)
+    counts = tuple(np.concatenate(f) for f in found)
+    if any(len(c) != len(x) for c, x in zip(counts, keys)):
+        raise RuntimeError("the rows of a block have changed between two readings")
+    n, v = sum(a[3] for a in answers), sum(a[4] for a in answers)
+    w, start = where[:-1], int(where[-1])
+    model = Automaton(w, grams.begins, start, pair, counts, where_at, n, v, prior)
+    steps = model.traverse(w, grams.begins)
+    adds = lambda x: np.add.reduceat(x, grams.at[:-1])
+    return np.diff(grams.at), adds((counts[0][w] > 0).astype(np.int64)), n, adds(model.root[w]), adds(steps)
+
+
+def score(docs: DataFrame, train: str, key: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES, prior: tuple = PRIOR) -> DataFrame:
     """doc_id, trained boolean, n_tokens, n_known, train_tokens long, base_score, score double per row; train: SQL condition of training rows."""
     spark = docs.sparkSession
     parts = partitions(spark)
     source = docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.coalesce(F.expr(train), F.lit(False)).alias("train"))
-    hot = hot_contexts(source)
-    # Both uses below share this exchange.
-    dealt = source.withColumn("block", F.pmod(F.xxhash64("doc_id", F.coalesce(F.length("text"), F.lit(0))), F.lit(parts)).cast("int")).repartition(parts, "block")
+    size = source.agg(F.sum(F.octet_length("text") + 2).alias("bytes")).first()["bytes"] or 0
+    low = low_bytes(size)
+    blocks = max(1, -(-size // block_bytes), min(parts, -(-size // (1 << 20))))
+    # By place, so that equal rows go to different blocks. Both uses below share this exchange.
+    dealt = source.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("int")).repartition(parts, "block")
 
     def ask(batches):
-        held: dict[int, list] = {}
+        now, held = None, []
+
+        def finish():
+            return batch_of(list(requests(pa.concat_arrays([h[0] for h in held]), np.concatenate([h[1] for h in held]), now, parts, low)), REQUEST)
+
         for batch in batches:
             block = batch.column(3).to_numpy()
-            for b in np.unique(block).tolist():
-                pick = pa.array(np.flatnonzero(block == b))
-                held.setdefault(b, []).append((batch.column(1).take(pick), batch.column(2).take(pick)))
-        for b, pieces in held.items():
-            made = Block(pa.concat_arrays([p[0] for p in pieces]), np.concatenate([np.array(p[1]) for p in pieces]).astype(bool), hot, parts)
-            yield batch_of(list(made.requests(b, parts)), REQUEST)
+            ends = np.flatnonzero(np.append(np.diff(block), 1)) + 1
+            at = 0
+            for end in ends.tolist() if len(block) else []:
+                if block[at] != now and held:
+                    yield finish()
+                    held = []
+                now = int(block[at])
+                held.append((batch.column(1).slice(at, end - at), np.array(batch.column(2).slice(at, end - at)).astype(bool)))
+                at = end
+        if held:
+            yield finish()
 
     def answer(batches):
         by: dict[int, list] = {}
@@ -208,7 +323,7 @@ def score(docs: DataFrame, train: str, key: str = "doc_id", text: str = "text")
                 by.setdefault(row[0], []).append(row)
         for part in list(by):
             rows = []
-            for row in totals(by.pop(part), hot):
+            for row in totals(by.pop(part), parts, low):
                 rows.append(row)
                 if len(rows) == 64:
                     yield batch_of(rows, ANSWER)
@@ -216,33 +331,13 @@ def score(docs: DataFrame, train: str, key: str = "doc_id", text: str = "text")
             if rows:
                 yield batch_of(rows, ANSWER)
 
-    answers = dealt.mapInArrow(ask, ddl(REQUEST)).repartition(parts, "part").mapInArrow(answer, ddl(ANSWER))
+    asked = dealt.sortWithinPartitions("block").mapInArrow(ask, ddl(REQUEST))
+    answers = asked.repartitionById(parts, F.col("part")).mapInArrow(answer, ddl(ANSWER))
 
     def finish(texts: pa.Table, got: pa.Table) -> pa.Table:
-        made = Block(texts.column("text").combine_chunks(), np.array(texts.column("train")).astype(bool), hot, parts)
-        rows = sorted(zip(*(got.column(n).to_pylist() for n, _ in ANSWER)), key=lambda r: r[1])
-        total, kinds = sum(r[8] for r in rows), sum(r[9] for r in rows)
-        gather = lambda k, kind: np.concatenate([np.frombuffer(r[k], kind) for r in rows]).astype(np.int64) if rows else np.zeros(0, np.int64)
-        word_counts, pair_counts = gather(2, "<u4"), gather(3, "<u4")
-        keys, cuts = made.keys[1], made.cuts[1]
-        states = np.concatenate([np.unique(keys[cuts[p] : cuts[p + 1]] >> U(32)) for p in range(parts)])
-        successors, uses = gather(4, "<u4"), gather(5, "<u4")
-        states, first = np.unique(states, return_index=True)
-        successors, uses = successors[first], uses[first]
-        if len(hot):
-            for k, x in ((6, successors), (7, uses)):
-                sums = np.sum([np.frombuffer(r[k], "<i8") for r in rows], axis=0)
-                at = np.minimum(np.searchsorted(states, hot), len(states) - 1)
-                here = states[at] == hot
-                x[at[here]] = sums[here]
-        order = np.argsort(keys, kind="stable")
-        model = Automaton(word_counts, keys[order], pair_counts[order], states, successors, uses, total, kinds)
-        steps = model.traverse(made.pairs, made.where[0])
-        base = model.root[made.where[0]]
-        known = (word_counts > 0)[made.where[0]]
-        at = made.at
-        adds = lambda x: np.add.reduceat(x, at[:-1]) if len(at) > 1 else np.zeros(0)
-        return pa.table({"doc_id": texts.column("doc_id"), "trained": texts.column("train"), "n_tokens": np.diff(at), "n_known": adds(known.astype(np.int64)), "train_tokens": np.full(len(at) - 1, total), "base_score": adds(base), "score": adds(steps)})
+        rows = list(zip(*(got.column(n).to_pylist() for n, _ in ANSWER)))
+        n_tokens, known, total, base, steps = scored(texts.column("text").combine_chunks(), rows, parts, low, prior)
+        return pa.table({"doc_id": texts.column("doc_id"), "trained": texts.column("train"), "n_tokens": n_tokens, "n_known": known, "train_tokens": np.full(len(base), total), "base_score": base, "score": steps})
 
     id_kind = source.schema["doc_id"].dataType.simpleString()
     return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(finish, f"doc_id {id_kind}, trained boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
