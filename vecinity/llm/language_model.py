@@ -34,8 +34,10 @@ from vecinity.llm.common import PLACES, SPACED, U, chunks, mix, partitions, text
 
 #: Weight of the lower order's distribution, in tokens, for contexts of one and two words.
 PRIOR = (500.0, 20.0)
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 6 << 20
 LANE = 256
+#: Parts of the key space that a task adds up one after the other.
+PARTS_A_TASK = 4
 END = mix(np.array([0x656E64], U))[0]
 START = mix(np.array([0x7374617274], U))[0]
 #: Low bytes of a word key, and bits of a key beyond its low bytes.
@@ -288,13 +290,14 @@ def scored(text: pa.Array, answers: list[tuple], parts: int, low: int, prior: tu
 def score(docs: DataFrame, train: str, key: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES, prior: tuple = PRIOR) -> DataFrame:
     """doc_id, trained boolean, n_tokens, n_known, train_tokens long, base_score, score double per row; train: SQL condition of training rows."""
     spark = docs.sparkSession
-    parts = partitions(spark)
+    tasks = partitions(spark)
+    parts = tasks * PARTS_A_TASK
     source = docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.coalesce(F.expr(train), F.lit(False)).alias("train"))
     size = source.agg(F.sum(F.octet_length("text") + 2).alias("bytes")).first()["bytes"] or 0
     low = low_bytes(size)
-    blocks = max(1, -(-size // block_bytes), min(parts, -(-size // (1 << 20))))
+    blocks = max(1, -(-size // block_bytes), min(tasks, -(-size // (1 << 20))))
     # By place, so that equal rows go to different blocks. Both uses below share this exchange.
-    dealt = source.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("int")).repartition(parts, "block")
+    dealt = source.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("int")).repartition(tasks, "block")
 
     def ask(batches):
         now, held = None, []
@@ -332,7 +335,7 @@ def score(docs: DataFrame, train: str, key: str = "doc_id", text: str = "text",
                 yield batch_of(rows, ANSWER)
 
     asked = dealt.sortWithinPartitions("block").mapInArrow(ask, ddl(REQUEST))
-    answers = asked.repartitionById(parts, F.col("part")).mapInArrow(answer, ddl(ANSWER))
+    answers = asked.repartitionById(tasks, F.col("part") % tasks).mapInArrow(answer, ddl(ANSWER))
 
     def finish(texts: pa.Table, got: pa.Table) -> pa.Table:
         rows = list(zip(*(got.column(n).to_pylist() for n, _ in ANSWER)))
