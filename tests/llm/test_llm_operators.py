@@ -338,18 +338,34 @@ def test_packing_cases(spark, odd, none, tmp_path):
     assert sum(r["length"] for r in long) == long[0]["doc_tokens"] > 64
 
 
-@given(st.text(alphabet=st.sampled_from("ab é\n\t  .'1💡  "), max_size=40))
+@given(st.lists(st.sampled_from(["ab", " ", "é", "\n", "\t", ".", "'", "1", "💡", "<|endoftext|>", "<|", "\u00a0"]), max_size=30))
 @settings(max_examples=300, deadline=None)
-def test_encoder_gives_the_library_ids(text):
+def test_encoder_gives_the_library_ids(parts):
+    """Against a plain encoder of the file, special tokens' strings included, both ways."""
     import public_tokenizers
+    from tokenizers import Tokenizer
 
-    global ENCODER
+    global ENCODERS
+    path, text = public_tokenizers.path("byte_bpe_50k.json"), "".join(parts)
     try:
-        encoder = ENCODER
+        ENCODERS
     except NameError:
-        ENCODER = encoder = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
-        assert encoder.ranked is not None
-    assert encoder.encode(text).tolist() == encoder.whole.encode(text, add_special_tokens=False).ids
+        ENCODERS = [(packing.Encoder(path, as_text), Tokenizer.from_file(path)) for as_text in (False, True)]
+        ENCODERS[1][1].encode_special_tokens = True
+        assert all(e.ranked is not None for e, _ in ENCODERS)
+    for encoder, plain in ENCODERS:
+        assert encoder.encode(text).tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
+def test_special_token_in_a_text():
+    import public_tokenizers
+
+    assert packing.Encoder(public_tokenizers.path("byte_bpe_50k.json")).encode("hello <|endoftext|> there").tolist() == [31373, 220, 50256, 612]
+
+
+def test_full_pieces_leave_open_windows_alone():
+    windows = packing.Windows(64, 2)
+    assert windows.add("a", 50) == [] and windows.add("b", 40) == [] and windows.add("full", 64) == [["full"]] and windows.n == 2
 
 
 @given(st.lists(st.integers(1, 64), max_size=200), st.integers(1, 5))

@@ -1,14 +1,15 @@
 """Bounded-space online packing of tokenised documents into fixed-length sequences.
 
-Each task keeps a fixed number of open windows. A document's tokens are cut into pieces of at most `size`; a piece goes
-into the open window that it fits best; when none has room the fullest window is emitted and a new one opened. Windows
+Each task keeps a fixed number of open windows. A document's tokens are cut into pieces of at most `size`; a piece of that size is a sequence
+of its own; any other goes into the open window that it fits best; when none has room the fullest window is emitted and a new one opened. Windows
 still open at the end of a task are leftovers: a final pass merges their pieces, the largest first and again best-fit, in a
 few tasks whose number follows the leftovers (MERGED windows each). Only piece descriptions (document, start, length) are
 shuffled in that pass, never token ids, so it is small: at most OPEN windows a task.
 
-Token ids come from the tokenizer file given. For byte-level BPE whose ranks are its ids, pieces of text between blanks
-are encoded once per task and remembered (at most CACHE entries); a text in which white space stands next to a blank is
-encoded whole by the tokenizers library, which gives the same ids.
+Token ids are those that the tokenizers library gives for the file given, with add_special_tokens=False: nothing is added, and a special token's
+string inside a text is that token, unless `special_as_text`. For byte-level BPE whose ranks are its ids, pieces of text between blanks
+are encoded once per task and remembered (at most CACHE entries); a text in which white space stands next to a blank, or that holds
+the string of an added token, is encoded whole by the library.
 
 Defined results: a null text is the empty text: one piece, the end id alone; very long documents fill whole windows; repeated
 rows are packed each for itself; an empty table gives no rows; further columns are not read. The id of a sequence is unique
@@ -45,12 +46,13 @@ def byte_alphabet() -> dict[str, int]:
 class Encoder:
     """Token ids of texts, as numpy arrays."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        self.whole.encode_special_tokens = special_as_text
+        self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.ranked = self._ranked(path)
         self.clear()
 
@@ -61,11 +63,9 @@ class Encoder:
 
     def _ranked(self, path: str):
         """The same vocabulary for tiktoken, if ids are ranks; checked against the tokenizers library."""
-        try:
-            import public_tokenizers
-            import tiktoken
-        except ImportError:
-            return None
+        import public_tokenizers
+        import tiktoken
+
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
         letters = byte_alphabet()
@@ -73,7 +73,7 @@ class Encoder:
             return None
         ranks = {bytes(letters[c] for c in a): k for a, k in model["vocab"].items() if not a.startswith("<|")}
         got = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        probe = "It's 12 o'clock,\n\tnaïve Ünïcode—words  <|endoftext|> é  x\r\n" + " thonble éelle über señor" * 3
+        probe = "It's 12 o'clock,\n\tnaïve Ünïcode—words  <|end of text|> é  x\r\n" + " thonble éelle über señor" * 3
         return got if got.encode_ordinary(probe) == self.whole.encode(probe, add_special_tokens=False).ids else None
 
     def _piece(self, piece: str, lead: bool) -> int:
@@ -96,7 +96,7 @@ class Encoder:
     def encode(self, text: str) -> np.ndarray:
         if not text:
             return np.zeros(0, np.uint32)
-        if self.ranked is not None:
+        if self.ranked is not None and not any(t in text for t in self.added):
             pieces = text.split(" ")
             pieces[0] = "\0" + pieces[0]  # no blank before it
             if len(self.index) + len(pieces) > CACHE:
@@ -128,6 +128,8 @@ class Windows:
 
     def add(self, piece, length: int):
         """Places a piece; the windows that are complete come back."""
+        if length == self.size:
+            return [[piece]]
         out = []
         rest = self.bits >> length
         if rest:
@@ -163,11 +165,11 @@ NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id",
 SCHEMA = StructType([StructField(n, LongType()) for n in NAMES])
 
 
-def pack(docs: DataFrame, tokenizer: str, size: int = SIZE, opened: int = OPEN, key: str = "doc_id", text: str = "text", end: int = END) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, size: int = SIZE, opened: int = OPEN, key: str = "doc_id", text: str = "text", end: int = END, special_as_text: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
 
     def first(batches):
-        encoder, windows = Encoder(tokenizer), Windows(size, opened)
+        encoder, windows = Encoder(tokenizer, special_as_text), Windows(size, opened)
         from pyspark import TaskContext
 
         task, number = TaskContext.get().partitionId(), 0
