@@ -55,6 +55,17 @@ def test_line_dedup_cases(spark, odd, none):
     assert got == {**{k: f"own line {k}" for k in range(12)}, 20: "Menu here", 21: "x", 22: "y", 23: "z"}
 
 
+def test_line_dedup_keeps_columns_of_any_name(spark):
+    """Helper names that are there already; lists too large for a broadcast, dealt by salt."""
+    names = ["host_key", "salt", "lines", "ALL_LINES", "kept_lines", "_lines", "__host", "__salt", "n_dropped", "pages"]
+    rows = [(k, f"Menu here\nown line {k}", "h", *[f"{n}{k}" for n in names]) for k in range(12)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", "source", *names])
+    want = sorted((r[0], f"own line {r[0]}", *r[2:]) for r in rows)
+    for options in ({}, {"broadcast_bytes": 0, "pages": 2}):
+        got = line_dedup.drop_boilerplate(docs, ratio=0.2, **options)
+        assert got.columns == docs.columns and sorted(tuple(r) for r in got.collect()) == want
+
+
 def test_decontaminate_cases(spark, odd, none):
     bench = spark.createDataFrame([(7, "alpha BETA gamma"), (8, "one two three four five six seven eight nine ten eleven"), (9, None), (None, "!!"), (10, "Alpha, beta; gamma.")], "item_id long, text string")
     got = {(r["doc_id"], r["n_words"]): r for r in decontaminate.hits(odd, bench, keep=["doc_id"]).collect()}

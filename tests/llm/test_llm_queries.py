@@ -16,7 +16,7 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 from oracle import same
 
-from vecinity.llm import language_model, queries
+from vecinity.llm import language_model, line_dedup, queries
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
@@ -169,7 +169,7 @@ def test_pipeline_equals_plain_version(spark, docs):
     pages, seen = Counter(r.source for r in rows), Counter()
     for r in rows:
         seen.update({(r.source, x.strip()) for x in r.text.split("\n") if x.strip()})
-    drop = {k for k, n in seen.items() if n >= 3 and n > 0.1 * pages[k[0]]}
+    drop = {k for k, n in seen.items() if n >= 3 and n > line_dedup.RATIO * pages[k[0]]}
     texts = {r.doc_id: "\n".join(x for x in r.text.split("\n") if (r.source, x.strip()) not in drop) for r in rows}
     sets = {}
     for i, t in texts.items():

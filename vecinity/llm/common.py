@@ -8,6 +8,20 @@ import pyarrow as pa
 from vecinity.plans.lineage import partitions, saved, scratch  # noqa: F401
 
 U = np.uint64
+
+
+def fresh(columns: list[str], *wanted: str) -> list[str]:
+    """Helper names that no column has, whatever its case: the wanted ones behind as many underscores as it takes."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 #: Base of the polynomial word hash and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
