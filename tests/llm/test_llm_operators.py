@@ -77,6 +77,23 @@ def test_decontaminate_cases(spark, odd, none):
     for most in (100, 2):
         row = decontaminate.hits(docs, bench, clean=True, most=most).first()
         assert (row["text"], row["n_words"], row["n_hit"], row["items"]) == ("x  y.  z", 17, 14, ["10", "7", "8"])
+        assert decontaminate.hits(odd, bench, keep=["doc_id"], most=most).count() == odd.count() and decontaminate.hits(none, bench, most=most).count() == 0
+
+
+@pytest.mark.parametrize("most", [decontaminate.MAX_BYTES, 400_000])
+def test_decontaminate_keeps_columns_of_any_name_and_many_windows(spark, most):
+    """Some 60,000 windows, in one block or several; names that helpers would take."""
+    names = ["__text", "whole_text", "ROW", "places", "of", "__row"]
+    bench = spark.createDataFrame([(k, " ".join(f"b{k}w{j % 400}x{j // 400}" for j in range(2000))) for k in range(30)], "item_id long, text string")
+    passage = " ".join(f"B7w{j % 400}x{j // 400}" for j in range(395, 409))
+    docs = spark.createDataFrame([(k, f"own {k} words {passage if k % 3 == 0 else ''} end", *[f"{n}{k}" for n in names]) for k in range(9)], ["doc_id", "text", *names])
+    assert (len(decontaminate.blocks(bench, "item_id", "text", 10, most)) > 3) == (most == 400_000)
+    got = decontaminate.hits(docs, bench, most=most, clean=True)
+    assert got.columns == [*docs.columns, "n_words", "n_hit", "items", "contaminated"]
+    for r in got.collect():
+        k = r["doc_id"]
+        assert tuple(r)[2:8] == tuple(f"{n}{k}" for n in names)
+        assert (r["n_hit"], r["items"], r["text"]) == ((14, ["7"], f"own {k} words  end") if k % 3 == 0 else (0, [], f"own {k} words  end"))
 
 
 def test_language_cases(spark, odd, none):
