@@ -104,7 +104,60 @@ def test_language_cases(spark, odd, none):
     assert language.predict(none, model).count() == 0
     nothing = language.fit(none, "text", "lang", "doc_id")
     assert {(r["lang_pred"], r["score"]) for r in language.predict(odd, nothing).collect()} == {("und", 0.0)}
-    assert language.predict(odd.withColumn("score", F.lit(1)), model).columns == [*odd.columns, "lang_pred", "score"]
+    assert language.predict(odd.withColumn("score", F.lit(1)).withColumn("whole_text", F.lit(1)), model).columns == [*odd.columns, "whole_text", "lang_pred", "score"]
+
+
+@given(st.lists(st.text(alphabet="aBÉé 1İßЖ\u0301中", max_size=12), max_size=5))
+@settings(max_examples=100, deadline=None)
+def test_language_features_are_code_point_grams(texts):
+    import unicodedata
+
+    want = set()
+    for k, t in enumerate(texts):
+        low = "".join(c if unicodedata.category(c)[0] in "LM" else " " for c in t.lower())
+        low = (" " if low[:1] == " " else "") + " ".join(low.split()) + (" " if low[-1:] == " " and low.strip() else "")
+        want |= {(k, low[i : i + n]) for n in language.ORDERS for i in range(len(low) - n + 1) if n > 1 or low[i] != " "}
+    bucket, row = language.buckets(texts)
+    assert len({(b, r) for b, r in zip(bucket.tolist(), row.tolist())}) == len(want)
+
+
+def plain_language_model(rows):
+    """Naive Bayes with a dictionary of counts per language and bucket, priors left out."""
+    counts = {}
+    for text, lang in rows:
+        counts.setdefault(lang, Counter()).update(language.buckets([text])[0].tolist())
+    total = {x: sum(c.values()) for x, c in counts.items()}
+    logs = lambda t, x: sum(np.log((counts[x][b] + language.ALPHA) / (total[x] + language.ALPHA * language.DIMENSIONS)) for b in language.buckets([t])[0].tolist())
+    return lambda t: {x: logs(t, x) / max(1, len(language.buckets([t])[0])) for x in sorted(counts)}
+
+
+def test_language_equals_plain_naive_bayes(spark):
+    rng = random.Random(8)
+    kinds = {"xx": "abcde é", "yy": "cdefg ж", "zz": "afghi ß"}
+    rows = [(k, "".join(rng.choice(kinds[x]) for _ in range(60)), x) for k, x in enumerate(sorted(kinds) * 12)]
+    ask = [(100 + k, "".join(rng.choice(kinds[x]) for _ in range(n))) for k, (x, n) in enumerate((x, n) for x in kinds for n in (3, 9, 40))] + [(200, "Привет мир"), (201, "qwjk vtpl")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(frame, "text", "lang", "doc_id")
+    plain = plain_language_model([(t, x) for _, t, x in rows])
+    got = {r["doc_id"]: r for r in language.predict(spark.createDataFrame(ask, "doc_id long, text string"), model).collect()}
+    for k, t in ask:
+        means = plain(t)
+        shares = np.exp(model[2] * (np.array([*means.values(), model[3]]) - max(means.values())))
+        assert got[k]["lang_pred"] == max(means, key=lambda x: means[x]) and got[k]["score"] == pytest.approx(1 / shares.sum(), abs=1e-4)
+
+
+def test_first_stage_rejects_what_is_no_known_language(spark, none):
+    import pandas as pd
+
+    from vecinity.llm import stages
+
+    sf = "/root/testdata/sf0.001"
+    odd = {-1: "Утренний поезд ушёл из долины поздно", -2: "早上的火车很晚才离开山谷", -3: "1234 5678 !!!", -4: "xqzv kjwqx pzvtk bqxjw zzkqv wxqjk vqzxp", -5: ""}
+    own = spark.read.parquet(f"{sf}/documents.parquet")
+    added = spark.createDataFrame([(k, t, None, "h", 1) for k, t in odd.items()], own.schema)
+    kept = {r["doc_id"] for r in stages.language_id(spark, own.unionAll(added), sf).select("doc_id").collect()}
+    texts = pd.read_parquet(f"{sf}/documents.parquet")
+    assert not kept & set(odd) and set(texts.doc_id) <= kept
 
 
 def test_language_model_cases(spark, odd, none):

@@ -10,10 +10,10 @@ from vecinity.llm.queries import held_out, table, tokenizer_path
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents in which a language is recognised; `und` and uncertain ones go."""
+    """Keeps documents in which a language is recognised: texts without letters, in another script or of random letters have no language or a score under 0.3 and go."""
     model = language.fit(docs.where(~held_out(F.col("doc_id"), 3, 1)), "text", "lang", "doc_id")
     found = language.predict(docs, model)
-    return found.where("lang_pred <> 'und' and score >= 0.5").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return found.where("lang_pred <> 'und' and score >= 0.3").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
