@@ -16,7 +16,8 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 from oracle import same
 
-from vecinity.llm import language_model, line_dedup, queries
+from vecinity.llm import edit_fingerprint, language_model, line_dedup, queries
+from vecinity.llm.common import U, mix
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
@@ -69,6 +70,79 @@ def test_op4_against_plain_edits(spark, docs):
     assert by.max() == 1 and (got.near_edited > got.near_next).mean() > 0.95
 
 
+def plain_walk(text, level):
+    """The digits that a walk leaves at the steps of a level and above, one character after the other."""
+    out, at, step = [], 0, 0
+    while at < len(text):
+        if step % 4096 == 0:
+            bits, depth = edit_fingerprint.bits(step, 4096), edit_fingerprint.levels(step, 4096)
+        if depth[step % 4096] >= level:
+            h = mix(np.array([ord(text[at])], U) * U(0x9E3779B97F4A7C15) + mix(np.array([step + 77], U)))
+            out.append("0123456789abcdef"[int(h[0]) & 15])
+        at += int(bits[step % 4096][(ord(text[at]) * 0x9E3779B1 & 0xFFFFFFFF) >> 26])
+        step += 1
+    return "".join(out)
+
+
+def plain_likeness(a, b, whole):
+    """Share of equal digits at the steps that both fingerprints know, from walks of all steps."""
+    if a == b:
+        return 1.0
+    level = max(int(f.partition(":")[0]) for f in (a, b))
+    x, y = (plain_walk(t, level) for t in whole)
+    if not x or not y:
+        return 0.0
+    equal = sum(p == q for p, q in zip(x, y)) / max(len(x), len(y))
+    return max(0.0, min(1.0, (equal - 0.125) / 0.875))
+
+
+def test_op4_equals_plain_walks(spark, docs):
+    got = Q["op4_fingerprints"](spark, SF).toPandas().set_index("doc_id")
+    texts = docs.text.fillna("").tolist()
+    for k in sorted(range(len(texts)), key=lambda k: len(texts[k]))[:60]:
+        t, n = texts[k], texts[(k + 1) % len(texts)]
+        e = t[: len(t) - len(t) // 4] + n[: len(t) // 4]
+        r = got.loc[docs.doc_id[k]]
+        for x, f in ((t, r.fingerprint), (e, r.edited_fingerprint)):
+            level = max(0, int(np.floor(np.log2(max(2 * len(x), 1) / 100))))
+            assert f == f"{level}:{plain_walk(x, level)}"
+        assert r.near_edited == pytest.approx(plain_likeness(r.fingerprint, r.edited_fingerprint, (t, e)))
+        if len(n) < 4000:
+            assert r.near_next == pytest.approx(plain_likeness(r.fingerprint, got.fingerprint[docs.doc_id[(k + 1) % len(texts)]], (t, n)))
+
+
+def classes_of_all_pairs(texts, least=0.8):
+    """Class of each text by the likeness of whole walks over all pairs; and the pairs of different texts."""
+    import itertools
+
+    walks = [np.frombuffer(w[2:].encode(), np.uint8) for w in edit_fingerprint.fingerprints(texts, whole=True)]
+    pairs = []
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        m, n = sorted((len(walks[i]), len(walks[j])))
+        if texts[i] != texts[j] and m >= least * n * 0.9 and (np.count_nonzero(walks[i][:m] == walks[j][:m]) / max(n, 1) - 0.125) / 0.875 >= least:
+            pairs.append((i, j))
+    return pairs
+
+
+def test_near_duplicates_find_what_all_pairs_give(spark, docs):
+    """Recall on documents, and on texts of shared segments with one near copy each."""
+    rng = np.random.default_rng(6)
+    segments = [["".join(rng.choice(list("abcdefghij klmno pqrst"), 200)) for _ in range(4)] for _ in range(8)]
+    base = ["".join(s[rng.integers(4)] for s in segments) for _ in range(150)]
+    near = []
+    for t in base:
+        c = list(t)
+        for k in rng.integers(0, len(c), 10):
+            c[k] = "z"
+        near.append("".join(c))
+    for texts in (docs.text.fillna("").tolist(), [*base, *near]):
+        pairs = classes_of_all_pairs(texts)
+        frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        of = {r["doc_id"]: r["class_id"] for r in edit_fingerprint.near_duplicates(frame).collect()}
+        assert len(of) == len(texts) and pairs
+        assert sum(of[i] == of[j] for i, j in pairs) >= 0.95 * len(pairs)
+
+
 def test_op5_equals_brute_force(spark, docs):
     words = {i: WORD.findall((t or "").translate(LOW)) + ["\0end"] for i, t in zip(docs.doc_id, docs.text)}
     train = [words[i] for i in words if crc(i, 7) != 2]

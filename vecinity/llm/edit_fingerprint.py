@@ -12,7 +12,7 @@ all steps of them; pairs that are tied already through others are left out, whic
 are cut into blocks whose pairs are separate tasks. Texts that share no band are not compared.
 
 Defined results: a null text is the empty text; the empty text's fingerprint is `0:`, like itself (1) and unlike all others (0); equal ids
-stand in the order of their texts, null ids before all others; in a table of one row a document is its own next one; an empty table
+stand in the order of a hash of their texts, null ids before all others; in a table of one row a document is its own next one; an empty table
 gives an empty table; further columns are not read.
 """
 
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecinity.llm.common import U, mix, partitions
+from vecinity.llm.common import U, mix, partitions, saved
 from vecinity.operators.components import connected_components
 
 SAMPLES = 100
@@ -168,67 +168,78 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
+NAMES = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+KINDS = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+#: Kinds of rows that a range returns: results, its first row and its last one, which waits for the first row of another range.
+DONE, FIRST, LAST = 0, 1, 2
+
+
+def compared(ids: list, texts: list[str], following: list[int]) -> list[tuple]:
+    """Result rows of the first len(ids) texts; following: the place of each one's next text."""
+    edits = [edited(texts[k], texts[j]) for k, j in enumerate(following)]
+    prints = fingerprints([*texts, *edits])
+    out = []
+    for k, j in enumerate(following):
+        f, e = prints[k], prints[len(texts) + k]
+        out.append((ids[k], len(texts[k]), hashlib.sha256(edits[k].encode("utf-8", "surrogatepass")).hexdigest(), f, e, likeness(f, e), likeness(f, prints[j])))
+    return out
+
+
 def compare_with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row.
 
-    Rows are dealt once by ranges of the key; of each range's first row a copy goes to the range before it."""
+    Rows are sorted by ranges of the key (and, for equal keys, of a hash of the text and of the place, so that no key makes a range too large). A range
+    compares its rows with each other and returns its first and last row; last rows are compared with the first rows of the next ranges afterwards."""
     spark = docs.sparkSession
     parts = partitions(spark)
     source = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    cuts = source.select("doc_id").where("doc_id is not null").approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.2 / parts) if parts > 1 else []
-    cuts = sorted({int(c) for c in cuts})
-    number = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col("doc_id"))) if cuts else F.lit(0)
-    ranged = source.withColumn("range", F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(number).cast("int"))
-    firsts = sorted((r["range"], r["first"]) for r in ranged.select("range", "doc_id").groupBy("range").agg(F.min("doc_id").alias("first")).collect() if r["first"] is not None)  # a row per range
-    halo = {first: firsts[k - 1][0] for k, (_, first) in enumerate(firsts)}  # the first range's goes to the last one
-    if halo:
-        to = F.create_map(*[F.lit(x) for pair in halo.items() for x in pair])[F.col("doc_id")]
-        places = F.when(F.col("doc_id").isin(*halo), F.array(F.struct(F.col("range").alias("r"), F.lit(0).alias("h")), F.struct(to.cast("int").alias("r"), F.lit(1).alias("h")))).otherwise(F.array(F.struct(F.col("range").alias("r"), F.lit(0).alias("h"))))
-    else:
-        places = F.array(F.struct(F.col("range").alias("r"), F.lit(0).alias("h")))
-    dealt = ranged.withColumn("place", F.explode(places)).select(F.col("place.r").alias("range"), F.col("place.h").alias("halo"), "doc_id", "text")
-    dealt = dealt.repartition(parts, "range").sortWithinPartitions("range", "halo", "doc_id", "text")
-    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+    order = ["doc_id", "h", "place"]
+    dealt = source.withColumn("h", F.xxhash64("text")).withColumn("place", F.monotonically_increasing_id()).repartitionByRange(parts, *order).sortWithinPartitions(*order)
 
     def run(batches):
-        held: list[tuple] = []  # rows of one range; the last one waits for its next
-        size = 0
-        first = None  # of the range, for a lone range whose last row has no copy of another range's first
-
-        def finish(rows, ids):
-            texts = [r[3] for r in rows]
-            edits = [edited(texts[k], texts[k + 1]) for k in range(len(ids))]
-            prints = fingerprints([*texts, *edits])
-            out = []
-            for k in range(len(ids)):
-                f, e = prints[k], prints[len(texts) + k]
-                out.append((ids[k], len(texts[k]), hashlib.sha256(edits[k].encode("utf-8", "surrogatepass")).hexdigest(), f, e, likeness(f, e), likeness(f, prints[k + 1])))
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 7, kinds)], names)
-
-        def end_of_range():
-            real = [r for r in held if not r[1]]
-            if real:
-                after = [r for r in held if r[1]][:1] or [first]
-                yield finish([*real, *after], [r[2] for r in real])
-            held.clear()
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId()
+        held: list[tuple] = []  # (id, text); the last one waits for its next
+        size, begun = 0, False
+
+        def table(results, edges=()):
+            rows = [(DONE, number, None, *r) for r in results] + [(kind, number, t, i, *[None] * 6) for kind, i, t in edges]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 10, [pa.int32(), pa.int32(), pa.string(), *KINDS])], ["kind", "range", "text", *NAMES])
+
+        def finish():
+            return table(compared([i for i, _ in held[:-1]], [t for _, t in held], list(range(1, len(held)))))
 
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if held and row[0] != held[-1][0]:
-                    yield from end_of_range()
-                    size, first = 0, None
-                if first is None:
-                    first = row
+            for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if not begun:
+                    begun = True
+                    yield table((), [(FIRST, *row)])
                 held.append(row)
-                size += len(row[3])
-                if size > TOGETHER // 2 and len(held) > 1 and not held[-1][1]:
-                    yield finish(held, [r[2] for r in held[:-1]])
+                size += len(row[1])
+                if size > TOGETHER // 2 and len(held) > 1:
+                    yield finish()
                     del held[:-1]
-                    size = len(held[0][3])
-        yield from end_of_range()
+                    size = len(held[0][1])
+        if len(held) > 1:
+            yield finish()
+        if held:
+            yield table((), [(LAST, *held[-1])])
 
-    return dealt.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    found = saved(dealt.select("doc_id", "text").mapInArrow(run, f"kind int, range int, text string, {RESULT}"), "fingerprints")
+    edges = found.where(F.col("kind") != DONE).select("kind", "range", "doc_id", "text")
+    ranges = sorted(r["range"] for r in edges.where(F.col("kind") == FIRST).select("range").collect())  # a number per range
+    after = spark.createDataFrame(list(zip(ranges, [*ranges[1:], *ranges[:1]])), "range int, following int")
+    firsts = edges.where(F.col("kind") == FIRST).select(F.col("range").alias("following"), F.col("text").alias("next"))
+    pairs = edges.where(F.col("kind") == LAST).join(after, "range").join(firsts, "following").select("doc_id", "text", "next")
+
+    def last(batches):
+        for batch in batches:
+            rows = [r for i, t, n in zip(*(c.to_pylist() for c in batch.columns)) for r in compared([i], [t, n], [1])]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 7, KINDS)], NAMES)
+
+    return found.where(F.col("kind") == DONE).select(*NAMES).unionAll(pairs.mapInArrow(last, RESULT))
 
 
 BAND = 8
@@ -283,8 +294,6 @@ def ties(walks: list[np.ndarray], side: list[int], least: float) -> list[tuple[i
 
 def near_duplicates(docs: DataFrame, least: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and class_id: the smallest id among texts tied by likeness of whole walks of at least `least`."""
-    from vecinity.llm.common import saved
-
     parts = partitions(docs.sparkSession)
 
     def make(batches):

@@ -48,6 +48,11 @@ def op4_fingerprints(spark, sf_dir):
     return edit_fingerprint.compare_with_next(table(spark, sf_dir, "documents"))
 
 
+def edit_near_duplicates(spark, sf_dir):
+    """Classes of documents by the banding and verification of op4's fingerprints."""
+    return edit_fingerprint.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_lm_scoring(spark, sf_dir):
     scored = language_model.score(table(spark, sf_dir, "documents"), "crc32(coalesce(cast(doc_id as string), '')) % 7 <> 2")
     return scored.select("doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
@@ -120,7 +125,7 @@ def op10_packing(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_extraction, op2_language_id, op3_decontaminate, op4_fingerprints, op5_lm_scoring, op6_warc, op7_line_dedup, op8_toxicity, op9_ngram_jaccard_join, op10_packing)}
+    return {f.__name__: f for f in (op1_html_extraction, op2_language_id, op3_decontaminate, op4_fingerprints, op5_lm_scoring, op6_warc, op7_line_dedup, op8_toxicity, op9_ngram_jaccard_join, op10_packing, edit_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:
