@@ -333,8 +333,59 @@ def test_html_cases(spark):
     assert html_extract.extract_pages(spark.createDataFrame([], "page_id long, html string, text string")).count() == 0
 
 
+B = "The river rose over night and by morning the road was under water for miles around the old town near the harbour."
+LINKS = "<ul>" + "".join(f"<li><a href='/{k}'>Story number {k} from the region</a></li>" for k in range(5)) + "</ul>"
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (f"<article><section><p>{B} {B}</p></section></article>", [f"{B} {B}"]),
+        (f"<div class='topnavigation'><ul><li><a>Home page of the site</a></li><li><a>All the news</a></li></ul></div><article><p>{B}</p><p>{B}</p></article>", [B, B]),
+        (f"<article><p>{B}</p><p>{B}</p></article><div class='more-stories'><h3>More</h3>{LINKS}</div>", [B, B]),
+        (f"<div><p>{B}</p><p>{B}</p></div><div class='rail'><p>Read our guide to the best shoes</p></div>", [B, B]),
+        (f"<article><script src='a'/>var leaked=1;</script><p>{B}</p></article>", [B]),
+        (f'<article><p title="abc>{B}</p><p>{B}</p></article>', [B, B]),
+        (f"<body><p>{B}</p><p>Yes.</p><p>{B}</p></body>", [B, "Yes.", B]),
+        (f"<div id='c'><p>{B}</p><p>{B}</p></div><div class='comments'><div><p>{B}</p></div></div><div id='footer'>Copyright all rights reserved by us</div>", [B, B]),
+        (f"<table><tr><td><a href=x>Home</a><br><a href=y>About</a></td><td><h1>Flood</h1>{B}<br><br>{B}</td></tr></table>", ["Flood", f"{B} {B}"]),
+        (f"<main><h1>Flood in town</h1><p>{B}</p><form><p>Subscribe to our letter now</p></form><p>{B}</p></main>", ["Flood in town", B, B]),
+        (f"<div class='x1a'><a href=a>One</a> <a href=b>Two</a> <a href=c>Three</a></div><div class='y2'><h1>Flood in the town</h1><div class='z9'><p>{B}</p><p>Short one.</p><p>{B}</p></div></div><div class='q'>&copy; 2020 Someone</div>", ["Flood in the town", B, "Short one.", B]),
+    ],
+)
+def test_html_of_several_layouts(page, want):
+    assert html_extract.extract(page) == "\n".join(want)
+
+
+def test_html_on_layouts_not_learned():
+    """Words of main text found, and words found that are main text, over labelled pages of other seeds."""
+    from vecinity.llm import html_layouts
+
+    right = found = wanted = 0
+    for seed in range(5000, 5060):
+        page = html_layouts.Page(seed).html()
+        want = Counter(w for b in html_extract.blocks(page) if b.main for w in b.text.split())
+        got = Counter(html_extract.extract(page).split())
+        right, found, wanted = right + (want & got).total(), found + got.total(), wanted + want.total()
+    assert right / found > 0.95 and right / wanted > 0.95
+
+
+@pytest.mark.parametrize("piece", ['<a " ', "<p 'x\"><b ", "<div>", "</section><div>", "<select>", "<ul><div><li>", "<!--", "<script", "&amp", '<x y="', "<svg>", "</"])
+def test_html_takes_time_in_proportion(piece):
+    import time
+
+    def seconds(n):
+        began = time.perf_counter()
+        html_extract.extract((piece * (n // len(piece) + 1))[:n])
+        return time.perf_counter() - began
+
+    html_extract.learned()
+    assert seconds(1_000_000) < 5 and seconds(400_000) < 20 * max(seconds(100_000), 0.02)
+
+
 def test_html_weights_from_other_labels():
-    weights = html_extract.fit(["<div class='x' data-main><p>good words here</p></div><div class='y'><p>bad words here and more</p></div>"] * 3)
+    good, bad = "<div class='x' data-main><p>good words here</p></div>", "<div class='y'><p>bad words here</p></div>"
+    weights = html_extract.fit([good + bad, bad + good] * 3)
     assert html_extract.extract("<div class='y'><p>aa bb cc</p></div><div class='x'><p>dd ee</p></div>", weights) == "dd ee"
 
 
