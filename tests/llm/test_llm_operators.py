@@ -251,6 +251,67 @@ def test_toxicity_cases(spark, odd, none):
     assert {round(r["score"], 6) for r in toxicity.score(ask, lone).collect()} == {round(0.5 / 201, 6)}
 
 
+def biased_rows():
+    """Groups are named in toxic sentences far more often than in neutral ones."""
+    rng = random.Random(12)
+    plain = "river stone table green paper calm bridge lamp harbour bread winter train".split()
+    texts, labels = [], []
+    for k in range(900):
+        bad = k % 3 == 0
+        words = [rng.choice(plain) for _ in range(7)]
+        if bad:
+            words += [rng.choice(["vile", "rotten", "stupid"])] * (rng.random() < 0.8)
+        if rng.random() < (0.7 if bad else 0.02):
+            words.append(rng.choice(["women", "muslims", "immigrants", "gay"]))
+        rng.shuffle(words)
+        texts.append(" ".join(words) + ".")
+        labels.append(int(bad))
+    return texts, np.array(labels)
+
+
+def test_penalty_lowers_false_positives_on_neutral_mentions():
+    """The promise of the method: neutral sentences about groups, with terms that stand in toxic ones, are no longer called toxic, and toxic ones still are."""
+    texts, labels = biased_rows()
+    rows, pairs = [toxicity.of_text(t) for t in texts], [p for t in texts for p in toxicity.swaps(t)]
+    neutral = pa.array([f"the {g} walked over the {w}" for g in ("women", "muslims", "immigrants", "gay") for w in ("bridge", "river", "harbour", "table", "stone")])
+    toxic = pa.array([f"the {b} {w} of winter" for b in ("vile", "rotten", "stupid") for w in ("bridge", "river")])
+    without, penalised = toxicity.learn(rows, labels, []), toxicity.learn(rows, labels, pairs)
+    wrong = [(m.score(*text_bytes(neutral)) >= 0.5).mean() for m in (without, penalised)]
+    assert wrong[0] > 0.9 and wrong[1] < 0.05
+    assert (penalised.score(*text_bytes(toxic)) >= 0.5).all()
+
+
+def test_learning_equals_plain_gradient_descent():
+    """The same loss, written out row by row over a dense matrix, led to its minimum by plain steps."""
+    texts, labels = biased_rows()
+    texts, labels = texts[:240], labels[:240]
+    rows, pairs = [toxicity.of_text(t) for t in texts], [p for t in texts for p in toxicity.swaps(t)]
+    model = toxicity.learn(rows, labels, pairs, rounds=3000)
+    picked = np.flatnonzero(model.slot < len(model.weights) - 1)
+    place = {int(f): k for k, f in enumerate(picked)}
+
+    def vector(found):
+        out = np.zeros(len(picked))
+        out[[place[int(f)] for f in found if int(f) in place]] = 1
+        return out
+
+    x, d = np.array([vector(r) for r in rows]), np.array([vector(b) - vector(a) for a, b in pairs])
+    n1, n0 = labels.sum(), len(labels) - labels.sum()
+    weight = np.where(labels == 1, max(1.0, (n0 / n1) ** 0.25), 1.0)
+    weight = weight / weight.sum()
+
+    def loss(w, b):
+        z = x @ w + b
+        return float((weight * (np.logaddexp(0, z) - labels * z)).sum() + toxicity.RIDGE / 2 * w @ w + toxicity.PENALTY / 2 * ((d @ w) ** 2).mean())
+
+    w, b = np.zeros(len(picked)), 0.0
+    for _ in range(20_000):
+        error = (1 / (1 + np.exp(-(x @ w + b))) - labels) * weight
+        w = w - 0.3 * (x.T @ error + toxicity.RIDGE * w + toxicity.PENALTY * d.T @ (d @ w) / len(d))
+        b -= 0.3 * error.sum()
+    assert loss(model.weights[model.slot[picked]], model.bias) <= loss(w, b) + 1e-3
+
+
 def test_counterfactuals_lower_identity_weights():
     rows = [toxicity.of_text(t) for t in ["vile women"] * 30 + ["vile stone"] * 10 + ["calm river"] * 40]
     y = np.array([1] * 40 + [0] * 40)

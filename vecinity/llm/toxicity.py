@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from vecinity.llm.common import ALNUM, LOWER, U, chunks, mix, text_bytes, words
+from vecinity.llm.common import ALNUM, LOWER, U, chunks, fresh, mix, text_bytes, words
 
 DIMENSIONS = 1 << 18
 STEMS = (4, 5, 6)
@@ -157,9 +157,9 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
             for i, j in chunks(offsets):
                 code, row = features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 ends = np.searchsorted(row, np.arange(j - i + 1))
-                for r in range(j - i):
-                    pairs = swaps(texts[i + r] or "")
-                    yield pa.RecordBatch.from_arrays([pa.array([code[ends[r] : ends[r + 1]].astype("<u4").tobytes()], pa.binary()), batch.column(1).slice(i + r, 1), pa.array([[x.astype("<u4").tobytes() for p in pairs for x in p]], pa.list_(pa.binary()))], ["x", "y", "p"])
+                x = [code[ends[r] : ends[r + 1]].astype("<u4").tobytes() for r in range(j - i)]
+                p = [[f.astype("<u4").tobytes() for pair in swaps(texts[i + r] or "") for f in pair] for r in range(j - i)]
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), batch.column(1).slice(i, j - i), pa.array(p, pa.list_(pa.binary()))], ["x", "y", "p"])
 
     rows = sample.mapInArrow(run, "x binary, y int, p array<binary>").collect()
     rows.sort(key=lambda r: (r["x"], r["y"]))
@@ -171,7 +171,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
 def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns keep of docs (all by default), score double and predicted int."""
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("score", "predicted")]
-    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text"))
+    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias(*fresh([*keep, "score", "predicted"], "whole_text")))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
