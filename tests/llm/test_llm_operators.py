@@ -473,6 +473,12 @@ def test_warc_cases(spark):
     assert warc.round_trip(pages.where("false")).count() == 0
 
 
+def test_warc_revisits_are_held_against_their_response(spark):
+    rows = [(1, 4, "A", "revisit", 3, True), (2, 4, "B", "revisit", 3, True), (3, 4, "A", "response", None, True), (4, 5, "C", "response", None, False), (5, 5, "C", "revisit", 4, True), (6, 1, "D", "revisit", 9, True)]
+    frame = spark.createDataFrame(rows, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, intact boolean")
+    assert {r["page_id"]: r["intact"] for r in warc.verified(frame).collect()} == {1: True, 2: False, 3: True, 4: False, 5: False, 6: False}
+
+
 def plain_components(rows):
     sets, label = {}, {}
     for i, t in rows:

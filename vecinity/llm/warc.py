@@ -27,7 +27,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vecinity.llm.common import scratch
+from vecinity.llm.common import saved, scratch
 
 SALTS = 16
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -179,7 +179,8 @@ def normalise(archives: DataFrame, folder: str) -> DataFrame:
 def read(archives: DataFrame, folder: str) -> DataFrame:
     """Records of normalised archives by their sidecar indexes: page_id, payload_bytes, payload_digest, record_type, refers_to, intact.
 
-    A response's digest and length are computed from the payload read; a revisit's are the recorded ones. intact: they agree."""
+    A response's digest and length are computed from the payload read; a revisit's are the recorded ones, which `verified` holds against the response
+    that it refers to. intact: what is recorded and what is read agree."""
 
     def run(batches):
         system, base = place(folder)
@@ -202,16 +203,41 @@ def read(archives: DataFrame, folder: str) -> DataFrame:
     return archives.select("archive").mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, intact boolean")
 
 
+def spread(names: DataFrame) -> DataFrame:
+    """Archive names (one per writing task), a task each."""
+    found = sorted(r["archive"] for r in names.select("archive").collect())
+    table = names.sparkSession.createDataFrame(list(enumerate(found)), "place int, archive string")
+    return table.repartitionById(max(1, len(found)), F.col("place")).select("archive")
+
+
+def remove(archives: DataFrame, folder: str) -> None:
+    """Deletes archives."""
+
+    def run(batches):
+        system, base = place(folder)
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                if system.get_file_info(f"{base}/{name}").type == fs.FileType.File:
+                    system.delete_file(f"{base}/{name}")
+            yield batch
+
+    archives.mapInArrow(run, "archive string").count()
+
+
+def verified(rows: DataFrame) -> DataFrame:
+    """Records read back, with revisits held against the payload of the response that they refer to.
+
+    Only different (response, length, digest) triples meet the responses, so a response that many revisits name is one row."""
+    known = ["refers_to", "payload_bytes", "payload_digest"]
+    responses = rows.where("record_type = 'response' and intact").select(F.col("page_id").alias("refers_to"), "payload_bytes", "payload_digest").distinct()
+    wrong = rows.where("record_type = 'revisit'").select(*known).distinct().join(responses, known, "left_anti").withColumn("wrong", F.lit(True))
+    return rows.join(wrong, known, "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", (F.col("intact") & F.col("wrong").isNull()).alias("intact"))
+
+
 def round_trip(pages: DataFrame, folder: str | None = None, least: int = 0, **columns) -> DataFrame:
     """Writes pages as archives, normalises them and reads them back."""
-    from vecinity.llm.common import saved
-
-    spark = pages.sparkSession
-    folder = folder or scratch(spark, "warc")
+    folder = folder or scratch(pages.sparkSession, "warc")
     whole = saved(write(classified(pages, least, **columns), folder), "warc-whole")
-    spread = lambda df: df.repartition(max(1, df.count()), "archive")
     index = saved(normalise(spread(whole), folder), "warc-index")
-    system, base = place(folder)
-    for row in whole.select("archive").toLocalIterator():  # the monoliths are done with
-        system.delete_file(f"{base}/{row['archive']}")
-    return read(spread(index.select("archive").distinct()), folder)
+    remove(spread(whole), folder)  # the monoliths are done with
+    return verified(saved(read(spread(index.select("archive").distinct()), folder), "warc-read"))
