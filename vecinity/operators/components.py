@@ -3,7 +3,7 @@
 Large star: every larger neighbour of a vertex is tied to the vertex's smallest neighbour; small star: the smaller ones and the
 vertex itself are. Both keep components as they are, and a number of rounds logarithmic in practice leaves stars around each
 component's smallest id. Each round is a minimum per vertex (pre-aggregated) and a join that Spark may split at hot
-vertices; its result is written to the shared folder, so lineage stays short.
+vertices; its result is written to the shared folder, so lineage stays short, and the round before is deleted.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecinity.plans.lineage import saved
+from vecinity.plans.lineage import discard, saved
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -27,17 +27,18 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return tied.unionAll(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 100) -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """(id, label) of every vertex that has an edge to another one; label is the smallest id of its component.
 
     Null ends and self loops are left out; repeated edges count once; no edges give an empty table."""
     now = saved(edges.select(F.col(src).cast("long").alias("u"), F.col(dst).cast("long").alias("v")).where("u <> v").distinct(), "components")
     before = None
-    for _ in range(max_rounds):
+    while True:  # to the fixpoint: contraction only moves edges to smaller ids
         mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == before or not mark[0]:
             break
-        before = mark
-        now = saved(_small_star(_large_star(now)), "components")
+        before, last = mark, now
+        now = saved(_small_star(_large_star(last)), "components")
+        discard(last)
     stars = now.select(F.greatest("u", "v").alias("id"), F.least("u", "v").alias("label"))
     return stars.unionAll(stars.select("label", "label").distinct().toDF("id", "label"))

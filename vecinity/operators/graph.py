@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from vecinity.functions import vectors
 from vecinity.operators.components import connected_components
 from vecinity.operators.search import linear_scan
-from vecinity.plans.lineage import saved
+from vecinity.plans.lineage import discard, saved
 
 
 def reverse(graph: DataFrame) -> DataFrame:
@@ -155,7 +155,8 @@ def knn_graph(items: DataFrame, k: int = 20, max_iter: int = 10, init: str = "mu
         graph = nearest(graph.unionAll(multi_index_seed(items, k, metric, seed)), k)
     graph, before = saved(graph, "knn"), None
     for _ in range(max_iter):
-        graph = saved(descent_round(graph, items, k, metric), "knn")
+        last, graph = graph, saved(descent_round(graph, items, k, metric), "knn")
+        discard(last)
         now = graph.agg(F.round(F.sum("dist"), 9), F.count(F.lit(1))).first()
         if now == before:
             break
@@ -190,13 +191,14 @@ def hop_cluster(vertices: DataFrame, graph: DataFrame, hops: int) -> DataFrame:
     return labels
 
 
-def bfs_cluster(vertices: DataFrame, graph: DataFrame, seeds: list[int], max_rounds: int = 1000) -> DataFrame:
+def bfs_cluster(vertices: DataFrame, graph: DataFrame, seeds: list[int], max_rounds: int | None = None) -> DataFrame:
     """(id, label): breadth-first waves from all seeds at once; a vertex takes the most frequent label among those that reach it first
-    (ties: the smallest); seeds keep their own id; what no wave reaches gets the largest seed plus 1."""
+    (ties: the smallest); seeds keep their own id; what no wave reaches gets the largest seed plus 1. Runs until a wave is empty, or for max_rounds waves."""
     edges = saved(symmetric(graph), "bfs")
     done = saved(vertices.where(F.col("id").isin(list(seeds))).select("id", F.col("id").alias("label")), "bfs")
-    wave = done
-    for _ in range(max_rounds):
+    wave, rounds = done, 0
+    while max_rounds is None or rounds < max_rounds:
+        rounds += 1
         votes = edges.join(wave.withColumnRenamed("id", "src"), "src").join(done.select(F.col("id").alias("dst")), "dst", "left_anti").groupBy("dst", "label").agg(F.count(F.lit(1)).alias("n"))
         first = votes.groupBy(F.col("dst").alias("id")).agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("label"))
         wave = saved(first, "bfs")

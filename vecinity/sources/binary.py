@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from vecinity.plans.lineage import qualified
+
 RANGE = 64 << 20
 BATCH = 65536
 FORMATS = {"idfvecs": (True, "<f4"), "fvecs": (False, "<f4"), "idbvecs": (True, "u1")}
@@ -120,7 +122,7 @@ def register(spark: SparkSession) -> None:
 def read_vectors(spark: SparkSession, path: str, kind: str = "idfvecs", dim: int | None = None) -> DataFrame:
     """Vectors of a file or folder; with dim, any other dimension is an error."""
     register(spark)
-    df = spark.read.format(kind).load(path)
+    df = spark.read.format(kind).load(qualified(spark, path))
     return df if dim is None else df.where(F.assert_true(F.size("vec") == dim).isNull())
 
 
@@ -129,8 +131,19 @@ def read_chunks(spark: SparkSession, path: str, per_node: int, kind: str = "idbv
     return read_vectors(spark, path, kind).withColumn("node", F.floor(F.col("id") / per_node).cast("long"))
 
 
+def clear(path: str, kind: str) -> None:
+    """Deletes the files of an earlier run in a folder."""
+    system, base = place(path)
+    for f in system.get_file_info(fs.FileSelector(base, allow_not_found=True)):
+        if f.base_name.endswith(f".{kind}") and f.base_name.startswith("part-"):
+            system.delete_file(f.path)
+
+
 def write_vectors(df: DataFrame, path: str, kind: str = "idfvecs") -> DataFrame:
-    """(id, vec) as one file per task below path, written in the order of ids if df is sorted; returns (file, records)."""
+    """(id, vec) as one file per task below path, written in the order of ids if df is sorted; returns (file, records). What the folder held before goes."""
+    spark = df.sparkSession
+    path = qualified(spark, path)
+    clear(path, kind)
 
     def run(batches):
         from pyspark import TaskContext
@@ -156,6 +169,5 @@ def write_vectors(df: DataFrame, path: str, kind: str = "idfvecs") -> DataFrame:
             system.move(f"{base}/{hidden}", f"{base}/{name}")  # a lost attempt leaves a hidden file that readers skip
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64())], ["file", "records"])
 
-    spark = df.sparkSession
     rows = df.select(F.col("id").cast("long"), "vec").mapInArrow(run, "file string, records long").collect()  # a row per task
     return spark.createDataFrame([tuple(r) for r in rows], "file string, records long")
