@@ -208,13 +208,90 @@ def test_bfs_votes(spark):
     assert got == {0: 0, 1: 1, 2: 0, 3: 1, 4: 0, 5: 2, 6: 2}
 
 
-def test_dish_codes_split_the_items(items):
-    c = learn.fit_dish(items, 4, 3)
-    assert np.allclose(c.T @ c, np.eye(4), atol=1e-8)
-    got = learn.dish_codes(items, c).collect()
-    x = X.astype(np.float32).astype(float)
-    assert {r["id"]: r["code"] for r in got} == dict(enumerate(pack(x @ c >= 0).tolist()))
-    assert learn.fit_dish(items, 4, 1).shape == (8, 4)
+def plain_ring(x, node, bits, rounds, update):
+    """Consensus learning written out node by node."""
+    names, d = sorted(set(node)), x.shape[1]
+    n = len(names)
+    c = [np.eye(d, bits) for _ in names]
+    near = [(np.eye(d, bits), np.eye(d, bits)) for _ in names]
+    dual = [0.6 * np.eye(d, bits) for _ in names]
+    own = [x[node == k].T for k in names]
+    b = [np.where(c[k].T @ own[k] >= 0, 1.0, -1.0) for k in range(n)]
+    for _ in range(rounds):
+        for k in range(n):
+            s = 2 * b[k] @ own[k].T - dual[k].T + 0.1 * (near[k][0].T + near[k][1].T)
+            g, _, h = np.linalg.svd(s, full_matrices=False)
+            c[k] = h.T @ g.T
+        near = [(c[(k - 1) % n], c[(k + 1) % n]) for k in range(n)]
+        dual = [dual[k] + 0.2 * (2 * c[k] - near[k][0] - near[k][1]) for k in range(n)]
+        if update:
+            b = [np.where(c[k].T @ own[k] >= 0, 1.0, -1.0) for k in range(n)]
+    return dict(zip(names, c))
+
+
+@pytest.mark.parametrize("per_node, update", [(40, False), (40, True), (120, False), (60, False)])
+def test_dish_equals_a_plain_ring(items, per_node, update):
+    x, node = X.astype(np.float32).astype(float), np.arange(len(X)) // per_node
+    want = plain_ring(x, node, 4, 6, update)
+    got = learn.fit_dish(items, 4, per_node, rounds=6, update_codes=update)
+    assert set(got) == set(want) and all(np.allclose(got[k], want[k], atol=1e-8) and np.allclose(got[k].T @ got[k], np.eye(4)) for k in want)
+    codes = {r["id"]: r["code"] for r in learn.dish_codes(items, got, per_node).collect()}
+    assert codes == {i: int(pack((x[i] @ want[node[i]] >= 0)[None])[0]) for i in range(len(X))}
+
+
+def test_dish_codes_rank_better_than_random_directions(spark):
+    """Recall of the 10 nearest among the 20 of smallest Hamming distance, against random orthonormal directions."""
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((600, 4)) @ rng.standard_normal((4, 16)) * 3 + rng.standard_normal((600, 16)) * 0.3
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, vec array<double>")
+    learned = learn.fit_dish(df, 8, 600)[0]
+
+    def recall(c):
+        b = x @ c >= 0
+        near = np.argsort(((x[:, None] - x[None]) ** 2).sum(2), 1, kind="stable")[:, :10]
+        found = np.argsort((b[:, None] != b[None]).sum(2), 1, kind="stable")[:, :20]
+        return np.mean([len(set(n) & set(f)) / 10 for n, f in zip(near, found)])
+
+    assert recall(learned) > np.mean([recall(np.linalg.qr(rng.standard_normal((16, 8)))[0]) for _ in range(5)]) - 0.02
+
+
+@pytest.mark.parametrize("values", [search.BLOCK_VALUES, 200])
+def test_self_scan_equals_scan(items, monkeypatch, values):
+    want = {tuple(r) for r in search.top_k(search.scan(items, items, "e2", 5, exclude_self=True), 5).collect()}
+    monkeypatch.setattr(search, "BLOCK_VALUES", values)
+    assert {tuple(r) for r in search.top_k(search.self_scan(items, "e2", 5), 5).collect()} == want
+    near = search.self_scan(items, "angular", radius=0.8).collect()
+    assert len(near) == sum((exact(q, "angular") <= 0.8).sum() - 1 for q in range(len(X)))
+
+
+def test_radius_of_long_vectors_keeps_the_border(spark):
+    """Vectors of lengths near 1e5, where a matrix product cancels: those at the radius exactly are answers."""
+    far = np.zeros((40, 16))
+    far[:, 0], far[:, 1] = 1e5, np.arange(40) * 0.25
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(far)], "id long, vec array<double>")
+    got = {(r["query_id"], r["item_id"]) for r in search.exact_radius(df.where("id < 5"), df, 2.0, "e2").collect()}
+    assert got == {(q, i) for q in range(5) for i in range(40) if abs(q - i) <= 8}
+
+
+def test_metrics_and_hooks_of_ones_own(items):
+    manhattan = lambda a, b: np.abs(a[:, None] - b[None]).sum(2)
+    got = search.linear_scan(items.where("id = 3"), items, 4, manhattan).orderBy("rank").collect()
+    d = np.abs(X.astype(np.float32) - X[3].astype(np.float32)).sum(1)
+    assert [r["item_id"] for r in got] == [i for i in np.argsort(d, kind="stable") if i != 3][:4]
+    family = SimHash(4, 2, 8, 1)
+    column = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y).cast("double")), F.lit(0.0), lambda s, v: s + v)
+    some = search.lsh_join(items.where("id = 3"), items, family, metric=column, answer=lambda x: x > 0).collect()
+    assert some and all(r["dist"] == pytest.approx(d[r["item_id"]], abs=1e-4) and r["dist"] > 0 for r in some)
+    pairs = lambda forward: search.candidates(family.signatures(items.where("id = 3")), search.build_index(items, family), forward=forward)
+    assert pairs(lambda met: met.where("table = 0")).count() < pairs(None).count()
+
+
+@pytest.mark.parametrize("blocks", [1, 4])
+def test_descent_by_blocks_equals_the_round(items, blocks):
+    start = graph.random_graph(items, 6, "sq_e2")
+    labels = items.select("id", (F.col("id") % blocks).alias("label"))
+    rows = lambda g: sorted((r["src"], r["dst"], round(r["dist"], 6)) for r in g.collect())
+    assert rows(graph.descent_round_blocks(start, items, labels, 6)) == rows(graph.descent_round(start, items, 6))
 
 
 def test_top_k_ties(spark):

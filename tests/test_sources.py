@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from vecinity.operators.families import PCAHash
 from vecinity.plans.config import parse_config
@@ -34,6 +35,47 @@ def test_idlibsvm_modes(spark):
         text.parse_idlibsvm(lines, mode="failfast").collect()
 
 
+def test_records_of_a_format_of_ones_own(spark):
+    lines = spark.createDataFrame([("1|a",), ("x|b",), ("2|c",), (None,), ("3",)], "value string")
+    parser = lambda line: (int(line.split("|")[0]), line.split("|")[1])
+    assert sorted(tuple(r) for r in text.parse_records(lines, parser, "id long, name string").collect()) == [(1, "a"), (2, "c")]
+    with pytest.raises(Exception, match="invalid literal|split"):
+        text.parse_records(lines, parser, "id long, name string", mode="failfast").collect()
+    column = lambda c: F.when(F.split_part(c, F.lit("|"), F.lit(1)).try_cast("long").isNotNull(), F.struct(F.split_part(c, F.lit("|"), F.lit(1)).cast("long").alias("id"), F.split_part(c, F.lit("|"), F.lit(2)).alias("name")))
+    assert sorted(tuple(r) for r in text.parse_records(lines, column, "id long, name string", column=True).collect()) == [(1, "a"), (2, "c"), (3, "")]
+
+
+def test_ordinals_of_a_file_read_in_ranges(spark, tmp_path):
+    (tmp_path / "f").write_text("".join(f"{900 + k} {k}:1.0\n" for k in range(500)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700b")
+    try:
+        got = text.read_ordinal(spark, str(tmp_path / "f"), 400).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted((r["id"], r["vec"][0]["idx"]) for r in got) == [(k, k) for k in range(400)]
+
+
+def test_writing_again_leaves_nothing_of_the_run_before(spark, tmp_path):
+    df = spark.range(40).selectExpr("id", "array(cast(id as float)) vec")
+    binary.write_vectors(df.repartition(4), str(tmp_path / "v"))
+    binary.write_vectors(df.where("id < 3").coalesce(1), str(tmp_path / "v"))
+    assert binary.read_vectors(spark, str(tmp_path / "v")).count() == 3
+
+
+def test_scratch_is_discarded(spark):
+    import os
+
+    from vecinity.plans.lineage import discard, saved
+    from vecinity.plans.timer import Timer
+
+    table = saved(spark.range(3), "x")
+    assert table.count() == 3 and table.scratch_path.startswith("file:///")
+    discard(table)
+    assert not os.path.exists(table.scratch_path[7:])
+    timer = Timer()
+    assert timer.mark("one") >= 0 and timer.total >= timer.phases[0][1]
+
+
 def test_truth_and_graph_files(spark, tmp_path):
     (tmp_path / "t").write_text("2\t2\n5\t5\t0\t6\t1.5\n7\t7\t0\t5\t2.5\n")
     assert sorted(tuple(r) for r in text.read_truth(spark, str(tmp_path / "t"), drop_self=True).collect()) == [(5, 1, 6, 1.5), (7, 1, 5, 2.5)]

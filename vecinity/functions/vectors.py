@@ -64,6 +64,12 @@ def angular_sparse(a: Column, b: Column) -> Column:
     return angle(dot_sparse(a, b), norm_sparse(a), norm_sparse(b))
 
 
+def e2_sparse(a: Column, b: Column) -> Column:
+    """Euclidean distance of sparse vectors, over all indexes of both."""
+    squares = lambda v: _sum(F.transform(v, lambda e: e["val"].cast("double") * e["val"].cast("double")))
+    return F.sqrt(F.greatest(F.lit(0.0), squares(a) + squares(b) - 2 * dot_sparse(a, b)))
+
+
 def normalize(v: Column) -> Column:
     """The vector at length 1; null for one shorter than 1e-10."""
     n = norm(v)
@@ -102,20 +108,24 @@ def sparse_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def sparse_angles(a: pa.Array, b: pa.Array) -> np.ndarray:
-    """Angles of rows with equal places of two columns of sparse vectors, idx ascending."""
+    """Angles of rows with equal places of two columns of sparse vectors, idx ascending: one search of all (row, idx) of b among those of a."""
     (ai, av, ao), (bi, bv, bo) = sparse_parts(a), sparse_parts(b)
-    out = np.full(len(a), np.pi / 2)
-    for k in range(len(a)):
-        x, y = slice(ao[k], ao[k + 1]), slice(bo[k], bo[k + 1])
-        _, p, q = np.intersect1d(ai[x], bi[y], assume_unique=True, return_indices=True)
-        product = float(av[x][p] @ bv[y][q])
-        if product:
-            out[k] = np.arccos(np.clip(product / (np.linalg.norm(av[x]) * np.linalg.norm(bv[y])), -1, 1))
-    return out
-
-
-def pairwise(metric: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Distances of all rows of a (queries) to all rows of b, by one matrix product."""
+    n = len(a)
+    ar, br = np.repeat(np.arange(n), np.diff(ao)), np.repeat(np.arange(n), np.diff(bo))
+    span = int(max(ai.max(initial=0), bi.max(initial=0))) + 1
+    keys = ar * span + ai
+    at = np.minimum(np.searchsorted(keys, br * span + bi), max(len(keys) - 1, 0))
+    hit = keys[at] == br * span + bi if len(keys) else np.zeros(len(br), bool)
+    product = np.bincount(br[hit], bv[hit] * av[at[hit]], n) if hit.any() else np.zeros(n)
+    scale = np.sqrt(np.bincount(ar, av * av, n) * np.bincount(br, bv * bv, n))
+    cosine = np.divide(product, scale, out=np.zeros(n), where=scale > 0)
+    return np.arccos(np.clip(cosine, -1, 1))
+
+
+def pairwise(metric, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distances of all rows of a (queries) to all rows of b, by one matrix product; a metric of one's own is a function of both matrices."""
+    if callable(metric):
+        return np.asarray(metric(a, b), float)
     product = a @ b.T
     if metric == "angular":
         scale = np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1)[None, :]
@@ -124,8 +134,10 @@ def pairwise(metric: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return square if metric == "sq_e2" else np.sqrt(square)
 
 
-def rowwise(metric: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def rowwise(metric, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Distances of rows with equal places, without the cancellation of `pairwise`."""
+    if callable(metric):
+        return np.array([float(np.asarray(metric(x[None], y[None]))[0, 0]) for x, y in zip(a, b)])
     if metric == "angular":
         product, scale = (a * b).sum(1), np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1)
         return np.arccos(np.clip(np.divide(product, scale, out=np.zeros_like(product), where=scale > 0), -1, 1))

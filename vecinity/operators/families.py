@@ -73,6 +73,11 @@ class HashFamily(ABC):
         """Items whose vectors have this family's dimension; others (null vectors too) can't be hashed."""
         return items.select(F.col("id").cast("long").alias("id"), "vec").where(F.size("vec") == self.dim)
 
+    def functions(self, spark) -> DataFrame:
+        """(fn, pos, a, b): the coefficients and offset of each function, a row per dimension."""
+        rows = [(f, k, float(x), float(self.offsets[f])) for f, a in enumerate(self.directions) for k, x in enumerate(a)]
+        return spark.createDataFrame(rows, "fn int, pos int, a double, b double")
+
     def describe(self) -> dict:
         """The family's parameters."""
         return {"family": type(self).__name__, "tables": self.tables, "dim": self.dim, "metric": self.metric, "directions": self.directions.tolist(), "offsets": self.offsets.tolist()}
@@ -92,6 +97,10 @@ class E2LSH(HashFamily):
     def codes(self, x):
         return np.floor(self.project(x) / self.width).astype(np.int64).reshape(len(x), self.tables, self.rows)
 
+    def residuals(self, items: DataFrame) -> DataFrame:
+        """(id, fn, residual): how far each projection lies above the lower border of its cell."""
+        return self.projections(items).select("id", "fn", (F.col("proj") - F.floor(F.col("proj") / self.width) * self.width).alias("residual"))
+
 
 class SimHash(HashFamily):
     """Signs of random projections (at least 0 is 1), packed per table."""
@@ -194,7 +203,8 @@ class SparseSimHash:
 
     def codes(self, idx: np.ndarray, val: np.ndarray, first: np.ndarray) -> np.ndarray:
         """n x tables signatures of vectors whose entries begin at `first` (none empty)."""
-        bits = np.stack([np.add.reduceat(val * self.coefficients(idx, f), first) >= 0 for f in range(self.halves * self.half)], 1)
+        known, at = np.unique(idx, return_inverse=True)  # an index's coefficients are computed once a batch
+        bits = np.stack([np.add.reduceat(val * self.coefficients(known, f)[at], first) >= 0 for f in range(self.halves * self.half)], 1)
         half = pack(bits.reshape(-1, self.half)).reshape(len(first), self.halves)
         if not self.all_pairs:
             return half

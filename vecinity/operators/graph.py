@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from vecinity.functions import vectors
 from vecinity.operators.components import connected_components
-from vecinity.operators.search import linear_scan
+from vecinity.operators.search import self_scan, top_k
 from vecinity.plans.lineage import discard, saved
 
 
@@ -43,8 +43,8 @@ def top_in_degree(graph: DataFrame, n: int) -> DataFrame:
 
 
 def exact_graph(items: DataFrame, k: int = 20, metric: str = "sq_e2") -> DataFrame:
-    """The exact k-nearest-neighbour graph: all items as the query set of a block scan."""
-    return linear_scan(items, items, k, metric, exclude_self=True).select(F.col("query_id").alias("src"), F.col("item_id").alias("dst"), "dist", "rank")
+    """The exact k-nearest-neighbour graph."""
+    return top_k(self_scan(items, metric, k), k).select(F.col("query_id").alias("src"), F.col("item_id").alias("dst"), "dist", "rank")
 
 
 def nearest(edges: DataFrame, k: int) -> DataFrame:
@@ -102,6 +102,48 @@ def descent_round(graph: DataFrame, items: DataFrame, k: int, metric: str = "sq_
     return nearest(every, k)
 
 
+def requested(graph: DataFrame, labels: DataFrame) -> DataFrame:
+    """Distinct (label, id): the vectors that each block of vertices needs, its own and those of its neighbours."""
+    own = labels.select("label", "id")
+    return own.unionAll(graph.join(labels.select(F.col("id").alias("src"), "label"), "src").select("label", F.col("dst").alias("id"))).distinct()
+
+
+def request_counts(graph: DataFrame, labels: DataFrame) -> DataFrame:
+    """(label, requests): how many different vectors each block needs."""
+    return requested(graph, labels).groupBy("label").agg(F.count(F.lit(1)).alias("requests"))
+
+
+def descent_round_blocks(graph: DataFrame, items: DataFrame, labels: DataFrame, k: int, metric: str = "sq_e2") -> DataFrame:
+    """The round of `descent_round` for graphs whose vectors don't fit: vertices are grouped by label, and a block gets each vector that it needs once.
+
+    A block's surroundings and vectors are held by one task at a time, so labels should cut the graph into blocks of that size."""
+    around = graph.select("src", "dst").unionAll(reverse(graph.select("src", "dst")).select("src", "dst")).where("src <> dst").distinct()
+    lists = around.join(labels.select(F.col("id").alias("src"), "label"), "src").select(F.col("label").alias("block"), "src", "dst")
+    vecs = requested(around, labels).join(items.select("id", F.col("vec").cast("array<double>").alias("vec")), "id").select("label", "id", "vec")
+
+    def meet(near: pa.Table, known: pa.Table) -> pa.Table:
+        none = pa.table({"src": pa.array([], pa.int64()), "dst": pa.array([], pa.int64()), "dist": pa.array([], pa.float64())})
+        if not len(near) or not len(known):
+            return none
+        ids, x = np.asarray(known.column("id")), vectors.matrix(known.column("vec"))
+        order = np.argsort(ids)
+        ids, x = ids[order], x[order]
+        src, dst = np.asarray(near.column("src")), np.searchsorted(ids, np.asarray(near.column("dst")))
+        order = np.argsort(src, kind="stable")
+        out = set()
+        for own in np.split(dst[order], np.flatnonzero(np.diff(src[order])) + 1):
+            own = np.sort(own)
+            left, right = np.triu_indices(len(own), 1)
+            out.update(zip(own[left].tolist(), own[right].tolist()))
+        if not out:
+            return none
+        pair = np.array(sorted(out))
+        return pa.table({"src": ids[pair[:, 0]], "dst": ids[pair[:, 1]], "dist": vectors.rowwise(metric, x[pair[:, 0]], x[pair[:, 1]])})
+
+    new = lists.groupBy("block").cogroup(vecs.groupBy("label")).applyInArrow(meet, "src long, dst long, dist double")
+    return nearest(graph.select("src", "dst", "dist").unionAll(new).unionAll(new.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "dist")), k)
+
+
 def centers(items: DataFrame, n: int, seed: int) -> DataFrame:
     """A sample of n items by a hash of their ids: (center, vec)."""
     key = F.expr(f"pmod(id * 1103515245 + {12345 + seed * 7919}, 2147483648)")
@@ -191,6 +233,23 @@ def hop_cluster(vertices: DataFrame, graph: DataFrame, hops: int) -> DataFrame:
     return labels
 
 
+def reset_labels(vertices: DataFrame) -> DataFrame:
+    """(id, label): every vertex with its own id."""
+    return vertices.select("id", F.col("id").alias("label"))
+
+
+def propagate_labels(graph: DataFrame, labels: DataFrame) -> DataFrame:
+    """(id, label): the smallest label among a vertex's own and those of vertices with an edge to it."""
+    told = graph.select("src", "dst").join(labels.withColumnRenamed("id", "src"), "src").select(F.col("dst").alias("id"), "label")
+    return told.unionAll(labels.select("id", "label")).groupBy("id").agg(F.min("label").alias("label")).join(labels.select("id"), "id", "left_semi")
+
+
+def nth_labels(graph: DataFrame, labels: DataFrame, n: int) -> DataFrame:
+    """(id, label): the n-th smallest different label among the neighbours of each vertex that has as many, n from 1."""
+    told = graph.select("src", "dst").join(labels.select(F.col("id").alias("dst"), "label"), "dst").select(F.col("src").alias("id"), "label").distinct()
+    return told.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("label"))).where(F.col("r") == n).select("id", "label")
+
+
 def bfs_cluster(vertices: DataFrame, graph: DataFrame, seeds: list[int], max_rounds: int | None = None) -> DataFrame:
     """(id, label): breadth-first waves from all seeds at once; a vertex takes the most frequent label among those that reach it first
     (ties: the smallest); seeds keep their own id; what no wave reaches gets the largest seed plus 1. Runs until a wave is empty, or for max_rounds waves."""

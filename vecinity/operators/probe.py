@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+from abc import ABC, abstractmethod
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from vecinity.functions.vectors import matrix
 from vecinity.operators.families import HashFamily
-from vecinity.operators.search import build_index, candidates, top_k, verify
+from vecinity.operators.search import build_index, top_k, verify
 from vecinity.plans.lineage import saved
 
 
@@ -94,12 +95,57 @@ def hamming_search(queries: DataFrame, items: DataFrame, family: HashFamily, k:
     return top_k(found, k)
 
 
+class ProbeStrategy(ABC):
+    """What a search over rounds asks for next, and when a query has enough."""
+
+    @abstractmethod
+    def probes(self, number: int, waiting: DataFrame, answers: DataFrame | None) -> DataFrame | None:
+        """(query_id, table, sig) that the waiting queries (id, vec) probe in round `number`, from the answers so far; None ends the search."""
+
+    def finished(self, answers: DataFrame) -> DataFrame | None:
+        """(query_id) of queries that ask no more; none by default."""
+        return None
+
+
+class QDProbes(ProbeStrategy):
+    """So many buckets a round in ascending quantisation distance, until a query has enough answers."""
+
+    def __init__(self, family: HashFamily, each: int, rounds: int, enough: int | None = None):
+        self.family, self.each, self.rounds, self.enough = family, each, rounds, enough
+
+    def probes(self, number, waiting, answers):
+        if number >= self.rounds:
+            return None
+        found = qd_probes(waiting, self.family, self.each * (number + 1)).where(F.col("probe_no") >= self.each * number)
+        return found.select("query_id", "table", "sig")
+
+    def finished(self, answers):
+        return None if self.enough is None else answers.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= self.enough).select("query_id")
+
+
+def rounds_search(queries: DataFrame, items: DataFrame, family: HashFamily, strategy: ProbeStrategy, radius: float | None = None, metric=None) -> DataFrame:
+    """(query_id, item_id, dist, round): answers of a strategy's probes, each item once per query. Finished queries are skipped, each for itself."""
+    index = saved(build_index(items, family), "rounds-index")
+    waiting, result, number = queries.select("id", "vec"), None, 0
+    while (probes := strategy.probes(number, waiting, result)) is not None:
+        found = probes.join(index.withColumnRenamed("id", "item_id"), ["table", "sig"]).select("query_id", "item_id").distinct()
+        if result is not None:
+            found = found.join(result.select("query_id", "item_id"), ["query_id", "item_id"], "left_anti")
+        new = saved(verify(found, queries, items, metric or family.metric, radius).withColumn("round", F.lit(number)), "rounds-answers")
+        result = new if result is None else result.unionAll(new)
+        if (done := strategy.finished(result)) is not None:
+            waiting = queries.select("id", "vec").join(saved(done.withColumnRenamed("query_id", "id"), "rounds-done"), "id", "left_anti")
+        number += 1
+    if result is None:
+        return items.sparkSession.createDataFrame([], "query_id long, item_id long, dist double, round int")
+    return result
+
+
 def expand_search(queries: DataFrame, items: DataFrame, family: HashFamily, radius: float = 0.9, max_iter: int = 5) -> DataFrame:
     """(query_id, item_id, dist, round): items within the radius, found from the query's buckets and then from those of accepted items.
 
     Runs at most max_iter - 1 rounds or until a round finds nothing; a round's answers are written, so lineage stays short."""
     index = saved(build_index(items, family), "expand-index")
-    ids = items.select("id")
     frontier = family.signatures(queries).withColumnRenamed("id", "query_id").select("query_id", "table", "sig")
     result = None
     for n in range(max(1, max_iter - 1)):
@@ -112,6 +158,3 @@ def expand_search(queries: DataFrame, items: DataFrame, family: HashFamily, radi
             break
         frontier = new.select("query_id", F.col("item_id").alias("id")).join(index, "id").select("query_id", "table", "sig").distinct()
     return result
-
-
-__all__ = ["candidates", "cheapest_masks", "expand_search", "hamming_search", "qd_probes", "qd_search"]

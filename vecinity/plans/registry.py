@@ -19,15 +19,16 @@ from vecinity.plans.lineage import saved, scratch
 from vecinity.sources import binary, text
 
 DIM = 64
-WIDTH = 0.5
+WIDTH = 2.0
 RADIUS = 1.2
 SPARSE_DIM = 500_000
 EVERY = 100
 
-E2 = E2LSH(4, 3, DIM, WIDTH, seed=7)
-SIM = SimHash(4, 8, DIM, seed=7)
-ALL_PAIRS = AllPairsSimHash(6, 6, DIM, seed=7)
-SPARSE = SparseSimHash(10, 12, all_pairs=True)
+# Parameters that reach a recall of 0.9 against the exact scans (README).
+E2 = E2LSH(8, 2, DIM, WIDTH, seed=7)
+SIM = SimHash(12, 3, DIM, seed=7)
+ALL_PAIRS = AllPairsSimHash(55, 4, DIM, seed=7)
+SPARSE = SparseSimHash(55, 14, all_pairs=True)
 
 
 def _model(bits: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -73,8 +74,9 @@ def asked(all_items: DataFrame) -> DataFrame:
 def sparse_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as term-frequency vectors of length 1: idx is a 32-bit hash of the word modulo SPARSE_DIM."""
     found = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.explode(F.expr("regexp_extract_all(lower(text), '[a-z]+', 0)")).alias("w"))
+    counted = found.groupBy("id", "w").agg(F.count(F.lit(1)).cast("double").alias("n"))  # words of a document are hashed once
     idx = (F.conv(F.substring(F.md5(F.col("w").cast("binary")), 1, 8), 16, 10).cast("long") % SPARSE_DIM).cast("int")
-    tf = found.groupBy("id", idx.alias("idx")).agg(F.count(F.lit(1)).cast("double").alias("tf"))
+    tf = counted.groupBy("id", idx.alias("idx")).agg(F.sum("n").alias("tf"))
     rows = tf.groupBy("id").agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("n"), F.array_sort(F.collect_list(F.struct("idx", F.col("tf").alias("val")))).alias("vec"))
     return rows.select("id", F.transform("vec", lambda e: F.struct(e["idx"].alias("idx"), (e["val"] / F.col("n")).alias("val"))).alias("vec"))
 
@@ -144,7 +146,7 @@ SPARSE_PAIRS_SQL = f"WITH {T_SQL}, p AS (SELECT a.id AS query_id, b.id AS item_i
 
 @query(f"{SPARSE_PAIRS_SQL} SELECT query_id, item_id, round(dot, 6) AS dot FROM p")
 def sparse_dot(spark, sf_dir):
-    all_ = sparse_items(spark, sf_dir)
+    all_ = saved(sparse_items(spark, sf_dir), "sparse")
     return rounded(search.sparse_products(asked(all_), all_), "dot")
 
 
@@ -189,7 +191,7 @@ def exact_radius(spark, sf_dir):
 
 # E2LSH.
 
-E2_FN_SQL = rows_sql("f", "fn, t, a, b", [(i, i // 3, numbers(a), float(b)) for i, (a, b) in enumerate(zip(E2.directions, E2.offsets))])
+E2_FN_SQL = rows_sql("f", "fn, t, a, b", [(i, i // E2.rows, numbers(a), float(b)) for i, (a, b) in enumerate(zip(E2.directions, E2.offsets))])
 E2_SIGS_SQL = f"WITH {E_SQL}, {Q_SQL}, {E2_FN_SQL}, h AS (SELECT id, t, fn, list_inner_product(v, a) + b AS proj FROM e, f), s AS (SELECT id, t, string_agg(floor(proj / {WIDTH})::BIGINT::VARCHAR, ',' ORDER BY fn) AS sig FROM h GROUP BY id, t)"
 E2_CAND_SQL = f"{E2_SIGS_SQL}, c AS (SELECT DISTINCT x.id AS query_id, y.id AS item_id FROM s x JOIN s y USING (t, sig) WHERE x.id % {EVERY} = 0), p AS (SELECT query_id, item_id, list_distance(a.v, b.v) AS d FROM c JOIN e a ON a.id = query_id JOIN e b ON b.id = item_id)"
 
@@ -244,7 +246,7 @@ def sim_sql(family, rows: int, name: str) -> str:
     return f"{fns}, {name} AS (SELECT id, h, sum(CASE WHEN list_inner_product(v, a) >= 0 THEN (1 << bit) ELSE 0 END)::BIGINT AS sig FROM e, f GROUP BY id, h)"
 
 
-SIM_SQL = f"WITH {E_SQL}, {sim_sql(SIM, 8, 's')}"
+SIM_SQL = f"WITH {E_SQL}, {sim_sql(SIM, SIM.rows, 's')}"
 
 
 @query(f"{SIM_SQL} SELECT id, h::INT AS \"table\", sig FROM s")
@@ -258,7 +260,7 @@ def simhash_join(spark, sf_dir):
     return rounded(search.lsh_join(asked(all_), all_, SIM), "dist")
 
 
-AP_SQL = f"WITH RECURSIVE {E_SQL}, {sim_sql(ALL_PAIRS, 3, 'half')}, s AS (SELECT x.id, x.h * 100 + y.h AS t, (x.sig << 3) | y.sig AS sig FROM half x JOIN half y ON x.id = y.id AND x.h < y.h)"
+AP_SQL = f"WITH RECURSIVE {E_SQL}, {sim_sql(ALL_PAIRS, ALL_PAIRS.half, 'half')}, s AS (SELECT x.id, x.h * 100 + y.h AS t, (x.sig << {ALL_PAIRS.half}) | y.sig AS sig FROM half x JOIN half y ON x.id = y.id AND x.h < y.h)"
 
 
 @query(f"{AP_SQL}, c AS (SELECT DISTINCT x.id AS query_id, y.id AS item_id FROM s x JOIN s y USING (t, sig) WHERE x.id % {EVERY} = 0), p AS (SELECT query_id, item_id, {ANGLE_SQL} AS d FROM c JOIN e a ON a.id = query_id JOIN e b ON b.id = item_id) SELECT query_id, item_id, round(d, 6) AS dist FROM p WHERE d <= {RADIUS}")
@@ -379,7 +381,7 @@ NEAR_SQL = f"WITH RECURSIVE {E_SQL}, g AS (SELECT a.id AS src, b.id AS dst FROM
 def near_graph(spark, sf_dir) -> DataFrame:
     """All pairs within an angle of 1.15."""
     all_ = items(spark, sf_dir)
-    return saved(search.exact_radius(all_, all_, 1.15, exclude_self=True).select(F.col("query_id").alias("src"), F.col("item_id").alias("dst")), "near")
+    return saved(search.self_scan(all_, "angular", radius=1.15).select(F.col("query_id").alias("src"), F.col("item_id").alias("dst")), "near")
 
 
 CC_SQL = f"{NEAR_SQL}, reach(a, b) AS (SELECT id, id FROM e UNION SELECT r.a, g.dst FROM reach r JOIN g ON g.src = r.b), c AS (SELECT a AS id, min(b) AS label FROM reach GROUP BY a)"
@@ -445,7 +447,7 @@ def multiindex_seed(spark, sf_dir):
 RANDOM_SQL = f"""WITH {E_SQL}, n AS (SELECT max(id) + 1 AS n FROM e),
 dr AS (SELECT DISTINCT id AS src, (id + 1 + (id * 7919 + j * 104729 + j * j * 31) % (n - 1)) % n AS dst FROM e, n, range(1, 21) t(j)),
 g0 AS (SELECT src, dst, list_distance(a.v, b.v) AS d FROM dr JOIN e a ON a.id = src JOIN e b ON b.id = dst QUALIFY row_number() OVER (PARTITION BY src ORDER BY d, dst) <= 10)"""
-DESCENT_SQL = f"""{RANDOM_SQL}, bk AS (SELECT dst AS src, src AS dst, d FROM g0 QUALIFY row_number() OVER (PARTITION BY dst ORDER BY d, src) <= 10),
+DESCENT_SQL = f"""{RANDOM_SQL}, bk AS (SELECT dst AS src, src AS dst, d FROM g0),
 nb AS (SELECT src, dst FROM g0 UNION SELECT src, dst FROM bk), pp AS (SELECT DISTINCT x.dst AS a, y.dst AS b FROM nb x JOIN nb y ON x.src = y.src AND x.dst < y.dst),
 pd AS (SELECT pp.a, pp.b, list_distance(a.v, b.v) AS d FROM pp JOIN e a ON a.id = pp.a JOIN e b ON b.id = pp.b),
 al AS (SELECT src, dst, min(d) AS d FROM (SELECT src, dst, d FROM g0 UNION ALL SELECT a, b, d FROM pd UNION ALL SELECT b, a, d FROM pd) GROUP BY ALL)"""
@@ -459,7 +461,7 @@ def random_graph(spark, sf_dir):
 @query(f"{DESCENT_SQL} SELECT src, dst, round(d * d, 6) AS dist FROM al QUALIFY row_number() OVER (PARTITION BY src ORDER BY d, dst) <= 10")
 def nn_descent_1iter(spark, sf_dir):
     all_ = items(spark, sf_dir)
-    return rounded(graph.descent_round(saved(graph.random_graph(all_, 10, "sq_e2"), "random"), all_, 10, most_back=10), "dist")  # as its SQL has it
+    return rounded(graph.descent_round(saved(graph.random_graph(all_, 10, "sq_e2"), "random"), all_, 10), "dist")
 
 
 @query()
@@ -597,9 +599,42 @@ def pca_fit_codes(spark, sf_dir):
     return learn.fit_pca(all_, 12).signatures(all_).select("id", F.get("sig", F.lit(0)).alias("code"))
 
 
+NODE = 100
+
+
+@query(f"WITH {E_SQL}, x AS (SELECT id // {NODE} AS node, v, unnest(range(0, 16)) AS bit FROM e), y AS (SELECT node, bit, unnest(range(0, {DIM})) AS pos, unnest(v) AS x, CASE WHEN v[bit + 1] >= 0 THEN 1 ELSE -1 END AS b FROM x) SELECT node::BIGINT AS node, bit::INT AS bit, pos::INT AS pos, round(sum(b * x), 6) + 0.0 AS m FROM y GROUP BY ALL")
+def dish_products(spark, sf_dir):
+    """B X' of each node under the first matrix: the only pass of consensus learning over the data."""
+    found = learn.products(learn.with_node(items(spark, sf_dir), NODE), np.eye(DIM, 16))
+    rows = [(int(n), b, p, float(x)) for n, m in found.items() for b, r in enumerate(m) for p, x in enumerate(r)]
+    return rounded(spark.createDataFrame(rows, "node long, bit int, pos int, m double"), "m")
+
+
+SIGNS = np.round(np.linalg.qr(np.random.default_rng(19).standard_normal((DIM, 12)))[0], 6)
+
+
+@query(f"WITH {E_SQL}, {rows_sql('f', 'bit, a', [(k, numbers(a)) for k, a in enumerate(SIGNS.T)])} SELECT id // {NODE} AS node, id, sum(CASE WHEN list_inner_product(v, a) >= 0 THEN 1 << (11 - bit)::INT ELSE 0 END)::BIGINT AS code FROM e, f GROUP BY ALL")
+def sign_codes(spark, sf_dir):
+    """sgn(C'X) under given matrices, the same for all nodes."""
+    all_ = items(spark, sf_dir)
+    nodes = [r["node"] for r in learn.with_node(all_, NODE).select("node").distinct().collect()]
+    return learn.dish_codes(all_, {n: SIGNS for n in nodes}, NODE)
+
+
 @query()
 def dish_codes(spark, sf_dir):
-    """Codes of hash functions learned by consensus; iterative, tested against a plain version."""
+    """Codes of hash functions learned by consensus, each item under its node's own; iterative, tested against a plain ring in numpy."""
     all_ = items(spark, sf_dir)
-    return learn.dish_codes(all_, learn.fit_dish(all_, 16, 5))
+    return learn.dish_codes(all_, learn.fit_dish(all_, 16, NODE), NODE)
+
+
+@query(f"WITH {E_SQL}, u AS (SELECT id, unnest(range(0, {DIM})) AS i, unnest(v) AS x FROM e), m AS (SELECT i, avg(x) AS m FROM u GROUP BY i) SELECT a.i::INT AS i, b.i::INT AS j, round(avg(a.x * b.x) - any_value(p.m) * any_value(q.m), 6) + 0.0 AS cov FROM u a JOIN u b USING (id) JOIN m p ON p.i = a.i JOIN m q ON q.i = b.i GROUP BY a.i, b.i")
+def pca_covariance(spark, sf_dir):
+    """The covariance from which PCA hashing learns: one pass of moments."""
+    n, total, outer = learn.moments(items(spark, sf_dir))
+    cov = outer / n - np.outer(total / n, total / n)
+    return rounded(spark.createDataFrame([(i, j, float(x)) for i, r in enumerate(cov) for j, x in enumerate(r)], "i int, j int, cov double"), "cov")
+
 
+# Queries on formats and further operators register themselves.
+from vecinity.plans import formats, further  # noqa: E402, F401

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from vecinity.operators.aggregates import sample_exact
 from vecinity.plans.lineage import qualified
 
 RANGE = 64 << 20
@@ -171,3 +172,13 @@ def write_vectors(df: DataFrame, path: str, kind: str = "idfvecs") -> DataFrame:
 
     rows = df.select(F.col("id").cast("long"), "vec").mapInArrow(run, "file string, records long").collect()  # a row per task
     return spark.createDataFrame([tuple(r) for r in rows], "file string, records long")
+
+
+def convert(spark: SparkSession, path: str, to: str) -> DataFrame:
+    """A fvecs file as idfvecs, ids by position; returns (file, records)."""
+    return write_vectors(read_vectors(spark, path, "fvecs"), to)
+
+
+def write_sample(items: DataFrame, n: int, path: str, seed: int = 0) -> DataFrame:
+    """An exact sample of n items as idfvecs; returns (file, records)."""
+    return write_vectors(sample_exact(items.select("id", "vec"), "id", n, seed), path)

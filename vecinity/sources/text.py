@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-
+from pyspark.sql.types import StructType
 
 
 def parse_idlibsvm(lines: DataFrame, line: str = "value", mode: str = "permissive") -> DataFrame:
@@ -22,6 +25,55 @@ def read_idlibsvm(spark: SparkSession, path: str, mode: str = "permissive") -> D
     return parse_idlibsvm(spark.read.text(path), mode=mode)
 
 
+def parse_records(lines: DataFrame, parser: Callable[[str], tuple] | Callable[[Column], Column], schema: str, line: str = "value", mode: str = "permissive", column: bool = False) -> DataFrame:
+    """Records of a format of one's own. parser: a function of a line to a tuple of schema's fields, or with `column` of a column to a struct of them.
+
+    A record whose parser fails (or gives null) is dropped, or with mode failfast an error."""
+    if column:
+        made = lines.select(parser(F.col(line)).alias("r"))
+        made = made.where(F.assert_true(F.col("r").isNotNull(), F.lit("malformed record")).isNull()) if mode == "failfast" else made.where("r is not null")
+        return made.select("r.*")
+    kind = StructType.fromDDL(schema)
+
+    def run(batches):
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow = to_arrow_schema(kind)
+        for batch in batches:
+            rows = []
+            for x in batch.column(0).to_pylist():
+                try:
+                    rows.append(parser(x))
+                except Exception:
+                    if mode == "failfast":
+                        raise
+            rows = [r for r in rows if r is not None]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(arrow)], schema=arrow)
+
+    return lines.select(F.col(line)).mapInArrow(run, kind)
+
+
+def with_ordinal(df: DataFrame, name: str = "ordinal") -> DataFrame:
+    """Rows numbered from 0 in the order of the table's partitions (of one file: of its lines). Counts of partitions come first, a number each."""
+    marked = df.withColumn("__at", F.monotonically_increasing_id())
+    sizes = sorted((r[0], r[1]) for r in marked.groupBy(F.shiftright("__at", 33).alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())
+    before, told = 0, []
+    for p, n in sizes:
+        told.append((p, before))
+        before += n
+    starts = df.sparkSession.createDataFrame(told, "__p long, __before long")
+    placed = marked.withColumn("__p", F.shiftright("__at", 33)).join(F.broadcast(starts), "__p")  # a row per partition
+    return placed.withColumn(name, F.col("__before") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))).select(*[F.col(f"`{c}`") for c in df.columns], name)
+
+
+def read_ordinal(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:
+    """(id, vec) of an idlibsvm file whose first token is ignored: ids are the lines' numbers from 0; with `most` only the first so many."""
+    lines = with_ordinal(spark.read.text(path))
+    lines = lines if most is None else lines.where(F.col("ordinal") < most)
+    numbered = lines.select(F.concat_ws(" ", F.col("ordinal").cast("string"), F.regexp_replace("value", r"^\s*\S+", "")).alias("value"))
+    return parse_idlibsvm(numbered)
+
+
 def parse_pairs(lines: DataFrame, first: str, second: str, line: str = "value") -> DataFrame:
     """(first, rank, second, dist) of lines `q i d i d ...`; a line with two tokens or fewer (a header) is skipped. rank starts at 1."""
     parts = F.split(F.trim(F.col(line)), r"[ \t]+")
@@ -64,8 +116,8 @@ def pair_lines(ranked: DataFrame, sep: str = " ") -> DataFrame:
     return by.select(F.concat_ws(sep, F.col("query_id").cast("string"), F.concat_ws(sep, F.transform("ps", lambda x: x["p"]))).alias("line"))
 
 
-def truth_lines(ranked: DataFrame, k: int) -> DataFrame:
-    """(line): an lshbox file's header `queries k` and its rows, parted by tabs."""
+def truth_lines(ranked: DataFrame, k: int | float) -> DataFrame:
+    """(line): an lshbox file's header, `queries k` or `queries radius`, and its rows, parted by tabs."""
     head = ranked.agg(F.countDistinct("query_id").alias("n")).select(F.concat_ws("\t", F.col("n").cast("string"), F.lit(str(k))).alias("line"))
     return head.unionAll(pair_lines(ranked, "\t"))
 
