@@ -11,9 +11,12 @@ Two documents link when 100 * |A n B| >= threshold * |A u B| for their sets of d
    belong to one cluster (again pre-aggregated per task to size intervals).
 4. A cluster is joined in one task by a prefix tree over its globally ordered sets: a probe walks down the tree level by
    level, a path's overlap is computed once for all sets below it, and a subtree ends when the overlap so far and what can
-   still follow, bounded by the remaining lengths, miss the required overlap. Large clusters are cut into blocks by size class
-   and hash; pairs of blocks are joined in tasks of their own, size classes that can't link are not paired.
-5. Components of the found links, by star contraction.
+   still follow, bounded by the remaining lengths, miss the required overlap.
+5. A cluster above BLOCK shingles is cut into blocks by size class and hash. First blocks are joined inside, then the smallest sets of the components that
+   this gives, again inside blocks: in a family of near copies that ties nearly all. What may still link are sets that share a prefix shingle with a set of
+   another component; only those remain, their clusters are made anew, and of these all pairs of blocks whose size classes can link are joined in
+   tasks of their own. So no link between components is lost, and a family of near copies is not paired block by block.
+6. Components of the found links, by star contraction.
 
 Defined results: null and empty texts have 0 shingles, link with nothing and are their own component; a text with fewer words
 than a shingle is one shingle; rows with the same id are one document for the components; a null id gets a null component;
@@ -35,7 +38,7 @@ THRESHOLD = 80
 #: Bytes of text whose shingles a task gathers before it sends them.
 FLUSH = 24 << 20
 #: Shingles of a cluster that one task joins at once.
-BLOCK = 1_500_000
+BLOCK = 200_000
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int = N) -> tuple[np.ndarray, np.ndarray]:
@@ -198,8 +201,8 @@ def counted(docs: DataFrame, n: int, parts: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(known), pa.array(ids[first], mask=null[first].astype(bool)), pa.array(rows), pa.array(sizes[first]), pa.array(total.astype(np.int64))], ["key", "doc_id", "rows", "n_shingles", "shared"])
 
     sent = docs.mapInArrow(send, SENT)
-    back = sent.repartition(parts, "part").mapInArrow(receive, "kind int, part int, rows binary")
-    return back.repartition(parts, "part").mapInArrow(add, "key long, doc_id long, rows long, n_shingles long, shared long")
+    back = sent.repartitionById(parts, F.col("part")).mapInArrow(receive, "kind int, part int, rows binary")
+    return back.repartitionById(parts, F.col("part")).mapInArrow(add, "key long, doc_id long, rows long, n_shingles long, shared long")
 
 
 def sets(docs: DataFrame, n: int) -> DataFrame:
@@ -286,8 +289,8 @@ def ordered(classes: DataFrame, threshold: int, parts: int) -> DataFrame:
                 rows = []
         yield _batch(rows, _ORDERED)
 
-    slices = classes.select("rep", "n", "tokens").mapInArrow(send, SENT).repartition(parts, "part").mapInArrow(receive, "part int, rows binary")
-    return slices.repartition(parts, "part").mapInArrow(arrange, "rep long, n long, m long, counts binary, tokens binary")
+    slices = classes.select("rep", "n", "tokens").mapInArrow(send, SENT).repartitionById(parts, F.col("part")).mapInArrow(receive, "part int, rows binary")
+    return slices.repartitionById(parts, F.col("part")).mapInArrow(arrange, "rep long, n long, m long, counts binary, tokens binary")
 
 
 _ORDERED = [("rep", pa.int64()), ("n", pa.int64()), ("m", pa.int64()), ("counts", pa.binary()), ("tokens", pa.binary())]
@@ -364,7 +367,7 @@ def cluster_edges(sets_: DataFrame, threshold: int, parts: int) -> DataFrame:
 
     sent = sets_.select("rep", "n", "m", "tokens").mapInArrow(send, "part int, tokens binary, src long, dst long")
     spread = F.when(F.col("part") < 0, F.pmod(F.xxhash64("src", "dst"), F.lit(parts)).cast("int")).otherwise(F.col("part"))
-    return sent.repartition(parts, spread).mapInArrow(receive, "src long, dst long").distinct()
+    return sent.repartitionById(parts, spread).mapInArrow(receive, "src long, dst long").distinct()
 
 
 class Tree:
@@ -502,8 +505,8 @@ def join_group(reps: np.ndarray, sizes: np.ndarray, blobs: list[np.ndarray], cou
     return links
 
 
-def clustered_links(sets_: DataFrame, clusters: DataFrame, threshold: int, block: int, parts: int, every: bool) -> DataFrame:
-    """Step 4: (src, dst) of classes that link."""
+def clustered_links(sets_: DataFrame, clusters: DataFrame, threshold: int, block: int, parts: int, every: bool, across: bool = True) -> DataFrame:
+    """Steps 4 and 5: (src, dst) of classes that link; of large clusters also across blocks, or only inside them."""
     step = float(np.log(100 / threshold))
     rows = sets_.join(clusters.withColumnRenamed("id", "rep"), "rep").withColumn("class", F.floor(F.log(F.col("n").cast("double")) / step + 1e-9).cast("int"))
     weight = (F.length("tokens") / 8).cast("long")
@@ -521,11 +524,12 @@ def clustered_links(sets_: DataFrame, clusters: DataFrame, threshold: int, block
     kind = "struct<ca:int,ba:int,cb:int,bb:int,side:int>"
     me, cls = F.col("b"), F.col("class")
     # Inside a size class every pair of blocks (a block with itself on one side), and every block against those of the next class.
+    alone = F.array(F.struct(F.lit(-1).alias("ca"), F.lit(0).alias("ba"), F.lit(-1).alias("cb"), F.lit(0).alias("bb"), F.lit(0).alias("side")).cast(kind))
+    within = F.array(F.struct(cls.alias("ca"), me.alias("ba"), cls.alias("cb"), me.alias("bb"), F.lit(0).alias("side")).cast(kind))
     inside = places(F.col("blocks"), lambda j: F.struct(cls.alias("ca"), F.least(me, j).alias("ba"), cls.alias("cb"), F.greatest(me, j).alias("bb"), F.when(me > j, F.lit(1)).otherwise(F.lit(0)).alias("side")).cast(kind))
     upward = places(F.col("above"), lambda j: F.struct(cls.alias("ca"), me.alias("ba"), (cls + 1).alias("cb"), j.alias("bb"), F.lit(0).alias("side")).cast(kind))
     downward = places(F.col("under"), lambda j: F.struct((cls - 1).alias("ca"), j.alias("ba"), cls.alias("cb"), me.alias("bb"), F.lit(1).alias("side")).cast(kind))
-    alone = F.array(F.struct(F.lit(-1).alias("ca"), F.lit(0).alias("ba"), F.lit(-1).alias("cb"), F.lit(0).alias("bb"), F.lit(0).alias("side")).cast(kind))
-    spread = rows.withColumn("place", F.explode(F.when(F.col("blocks") == 0, alone).otherwise(F.concat(inside, upward, downward))))
+    spread = rows.withColumn("place", F.explode(F.when(F.col("blocks") == 0, alone).otherwise(F.concat(inside, upward, downward) if across else within)))
     keyed = spread.select("label", F.col("place.ca").alias("ca"), F.col("place.ba").alias("ba"), F.col("place.cb").alias("cb"), F.col("place.bb").alias("bb"), F.col("place.side").alias("side"), "rep", "n", "counts", "tokens")
     keys = ["label", "ca", "ba", "cb", "bb"]
 
@@ -558,6 +562,42 @@ def clustered_links(sets_: DataFrame, clusters: DataFrame, threshold: int, block
     return keyed.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(join, "src long, dst long")
 
 
+def large(sets_: DataFrame, clusters: DataFrame, block: int) -> DataFrame:
+    """The sets of clusters above `block` shingles."""
+    rows = sets_.join(clusters.withColumnRenamed("id", "rep"), "rep")
+    sizes = rows.groupBy("label").agg(F.sum(F.length("tokens") / 8).alias("all")).where(F.col("all") > block).select("label")
+    return rows.join(sizes, "label", "left_semi").drop("label")
+
+
+def unsettled(sets_: DataFrame, links: DataFrame) -> DataFrame:
+    """The sets that share a prefix shingle with a set of another component of links."""
+
+    def prefixes(batches):
+        for batch in batches:
+            found = [np.frombuffer(t, "<u8", m) for m, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            sizes = [len(f) for f in found]
+            tokens = np.concatenate(found).astype(np.int64) if found else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(batch.column(k), np.int64), sizes)) for k in (0, 1)] + [pa.array(tokens)], ["rep", "component", "token"])
+
+    of = connected_components(links).select(F.col("id").alias("rep"), F.col("label").alias("component"))
+    tagged = sets_.join(of, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    told = saved(tagged.select("rep", "component", "m", "tokens").mapInArrow(prefixes, "rep long, component long, token long"), "jaccard-prefixes")
+    mixed = told.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("token")
+    return sets_.join(told.join(mixed, "token").select("rep").distinct(), "rep", "left_semi")
+
+
+def large_links(sets_: DataFrame, links: DataFrame, threshold: int, block: int, parts: int) -> DataFrame:
+    """Step 5 after the blocks of large clusters were joined inside: links that tie what these have not tied."""
+    first = links
+    of = connected_components(first).select(F.col("id").alias("rep"), F.col("label").alias("component"))
+    leaders = saved(sets_.join(of.where("rep <> component"), "rep", "left_anti"), "jaccard-leaders")
+    groups = connected_components(cluster_edges(leaders, threshold, parts))
+    second = saved(clustered_links(leaders, groups, threshold, block, parts, False, across=False), "jaccard-links")
+    rest = saved(unsettled(sets_, first.unionAll(second)), "jaccard-rest")
+    groups = connected_components(cluster_edges(rest, threshold, parts))
+    return second.unionAll(saved(clustered_links(rest, groups, threshold, block, parts, False), "jaccard-links"))
+
+
 def similar(docs: DataFrame, n: int = N, threshold: int = THRESHOLD, key: str = "doc_id", text: str = "text", block: int = BLOCK, every: bool = False) -> dict[str, DataFrame]:
     """documents (doc_id, rows, n_shingles, component_id); classes (doc_id, rep); links (src, dst) between classes.
 
@@ -571,7 +611,11 @@ def similar(docs: DataFrame, n: int = N, threshold: int = THRESHOLD, key: str =
     classes = found.groupBy("a", "b").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("tokens").alias("tokens"))
     sets_ = saved(ordered(classes, threshold, parts), "jaccard-ordered")
     clusters = connected_components(cluster_edges(sets_, threshold, parts))
-    links = saved(clustered_links(sets_, clusters, threshold, block, parts, every), "jaccard-links")
+    links = saved(clustered_links(sets_, clusters, threshold, block, parts, every, across=every), "jaccard-links")
+    if not every:
+        hot = saved(large(sets_, clusters, block), "jaccard-large")
+        if hot.take(1):
+            links = links.unionAll(large_links(hot, links, threshold, block, parts))
     # Written first: joined as a table, Spark can split the rows of a hot class.
     reps = saved(found.groupBy("a", "b").agg(F.min("doc_id").alias("rep")), "jaccard-reps")
     members = found.select("doc_id", "a", "b").join(reps, ["a", "b"]).select("doc_id", "rep").distinct()
