@@ -38,7 +38,7 @@ THRESHOLD = 80
 #: Bytes of text whose shingles a task gathers before it sends them.
 FLUSH = 24 << 20
 #: Shingles of a cluster that one task joins at once.
-BLOCK = 200_000
+BLOCK = 1_500_000
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int = N) -> tuple[np.ndarray, np.ndarray]:
@@ -562,11 +562,11 @@ def clustered_links(sets_: DataFrame, clusters: DataFrame, threshold: int, block
     return keyed.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(join, "src long, dst long")
 
 
-def large(sets_: DataFrame, clusters: DataFrame, block: int) -> DataFrame:
-    """The sets of clusters above `block` shingles."""
+def large(sets_: DataFrame, clusters: DataFrame, block: int) -> DataFrame | None:
+    """The sets of clusters above `block` shingles; None if no cluster is."""
     rows = sets_.join(clusters.withColumnRenamed("id", "rep"), "rep")
     sizes = rows.groupBy("label").agg(F.sum(F.length("tokens") / 8).alias("all")).where(F.col("all") > block).select("label")
-    return rows.join(sizes, "label", "left_semi").drop("label")
+    return saved(rows.join(sizes, "label", "left_semi").drop("label"), "jaccard-large") if sizes.take(1) else None
 
 
 def unsettled(sets_: DataFrame, links: DataFrame) -> DataFrame:
@@ -613,8 +613,8 @@ def similar(docs: DataFrame, n: int = N, threshold: int = THRESHOLD, key: str =
     clusters = connected_components(cluster_edges(sets_, threshold, parts))
     links = saved(clustered_links(sets_, clusters, threshold, block, parts, every, across=every), "jaccard-links")
     if not every:
-        hot = saved(large(sets_, clusters, block), "jaccard-large")
-        if hot.take(1):
+        hot = large(sets_, clusters, block)
+        if hot is not None:
             links = links.unionAll(large_links(hot, links, threshold, block, parts))
     # Written first: joined as a table, Spark can split the rows of a hot class.
     reps = saved(found.groupBy("a", "b").agg(F.min("doc_id").alias("rep")), "jaccard-reps")
