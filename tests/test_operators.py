@@ -294,6 +294,25 @@ def test_descent_by_blocks_equals_the_round(items, blocks):
     assert rows(graph.descent_round_blocks(start, items, labels, 6)) == rows(graph.descent_round(start, items, 6))
 
 
+def test_blocks_are_cut_into_parts_of_bounded_size(spark, monkeypatch):
+    """One block with a hub of 300 spokes (44,850 pairs) among vertices of few: no part of it holds many pairs or vectors, and the round stays whole."""
+    x = np.random.default_rng(8).standard_normal((301, 4))
+    items = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "id long, vec array<double>")
+    start = spark.createDataFrame([(i, 0, float(((x[i] - x[0]) ** 2).sum())) for i in range(1, 301)] + [(i, i + 1, float(((x[i] - x[i + 1]) ** 2).sum())) for i in range(1, 300)], "src long, dst long, dist double")
+    labels = items.select("id", F.lit(1).cast("long").alias("label"))
+    want = sorted((r["src"], r["dst"], round(r["dist"], 9)) for r in graph.descent_round(start, items, 5).collect())
+    monkeypatch.setattr(graph, "MEET", 20)
+    monkeypatch.setattr(graph, "PART_PAIRS", 2000)
+    around = start.select("src", "dst").unionAll(graph.reverse(start.select("src", "dst")).select("src", "dst")).distinct()
+    cells = graph.parts_of_blocks(around, labels, 4).groupBy("part", "src", "ba", "bb").count().collect()
+    pairs = {}
+    for r in cells:
+        pairs[r["part"]] = pairs.get(r["part"], 0) + r["count"] * (r["count"] - 1) // 2
+    assert len(pairs) > 20 and max(pairs.values()) < 10_000
+    got = sorted((r["src"], r["dst"], round(r["dist"], 9)) for r in graph.descent_round_blocks(start, items, labels, 5).collect())
+    assert got == want
+
+
 def test_top_k_ties(spark):
     df = spark.createDataFrame([(0, i, float(5 - i)) for i in range(5)] + [(1, 9, 1.0), (1, 8, 1.0)], "query_id long, item_id long, dist double")
     got = search.top_k(df, 3).orderBy("query_id", "rank").collect()

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from vecinity.functions import vectors
 from vecinity.operators.components import connected_components
-from vecinity.operators.search import self_scan, top_k
+from vecinity.operators.search import ROWS, self_scan, top_k
 from vecinity.plans.lineage import discard, saved
 
 
@@ -76,16 +76,22 @@ def random_graph(items: DataFrame, k: int, metric: str, seed: int = 0) -> DataFr
 MEET = 256
 
 
-def pairs_around(around: DataFrame) -> DataFrame:
-    """Distinct (src, dst), src < dst, of all pairs of dst that stand around the same src.
+def cells_around(around: DataFrame) -> DataFrame:
+    """(src, ba, bb, own, dst): the surroundings of each src in cells whose pairs are all its pairs.
 
-    A hub's surroundings are cut into blocks of about MEET; each pair of blocks is a key of its own, so no task holds them all."""
+    A hub's surroundings are cut into blocks of about MEET; each pair of blocks is a cell, where members of different blocks meet, and each block
+    with itself is one, where all do."""
     blocks = around.groupBy("src").agg(F.ceil(F.count(F.lit(1)) / MEET).cast("int").alias("blocks"))
     placed = around.join(blocks, "src").withColumn("own", F.pmod(F.xxhash64("dst"), F.col("blocks")).cast("int"))
     told = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    keys = [F.col("src"), F.least("own", "other").alias("ba"), F.greatest("own", "other").alias("bb")]
-    left, right = told.select(*keys, F.col("own").alias("oa"), F.col("dst").alias("a")), told.select(*keys, F.col("own").alias("ob"), F.col("dst").alias("b"))
-    met = left.join(right, ["src", "ba", "bb"]).where("a < b and (ba = bb or oa <> ob)")
+    return told.select("src", F.least("own", "other").alias("ba"), F.greatest("own", "other").alias("bb"), "own", "dst")
+
+
+def pairs_around(around: DataFrame) -> DataFrame:
+    """Distinct (src, dst), src < dst, of all pairs of dst that stand around the same src; no task holds all of a hub's surroundings."""
+    cells, keys = cells_around(around), ["src", "ba", "bb"]
+    left, right = cells.select(*keys, F.col("own").alias("oa"), F.col("dst").alias("a")), cells.select(*keys, F.col("own").alias("ob"), F.col("dst").alias("b"))
+    met = left.join(right, keys).where("a < b and (ba = bb or oa <> ob)")
     return met.select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
 
 
@@ -113,13 +119,27 @@ def request_counts(graph: DataFrame, labels: DataFrame) -> DataFrame:
     return requested(graph, labels).groupBy("label").agg(F.count(F.lit(1)).alias("requests"))
 
 
+#: Pairs, and numbers in vectors, that a task of a block-wise round holds at once.
+PART_PAIRS = 1_000_000
+PART_VALUES = 8_000_000
+
+
+def parts_of_blocks(around: DataFrame, labels: DataFrame, dim: int) -> DataFrame:
+    """(label, part, src, ba, bb, own, dst): the cells around the vertices of each block, dealt into parts of about PART_PAIRS pairs and PART_VALUES numbers."""
+    cells = cells_around(around).join(labels.select(F.col("id").alias("src"), "label"), "src")
+    sizes = cells.groupBy("label", "src", "ba", "bb").agg(F.count(F.lit(1)).alias("n")).groupBy("label").agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("pairs"), F.sum("n").alias("members"))
+    parts = sizes.select("label", F.greatest(F.ceil(F.col("pairs") / PART_PAIRS), F.ceil(F.col("members") * dim / PART_VALUES), F.lit(1)).alias("parts"))
+    return cells.join(parts, "label").select("label", F.pmod(F.xxhash64("src", "ba", "bb"), F.col("parts")).cast("int").alias("part"), "src", "ba", "bb", "own", "dst")
+
+
 def descent_round_blocks(graph: DataFrame, items: DataFrame, labels: DataFrame, k: int, metric: str = "sq_e2") -> DataFrame:
-    """The round of `descent_round` for graphs whose vectors don't fit: vertices are grouped by label, and a block gets each vector that it needs once.
+    """The round of `descent_round` for graphs whose vectors don't fit: vertices are grouped by label, and a part of a block gets each vector that it needs once.
 
-    A block's surroundings and vectors are held by one task at a time, so labels should cut the graph into blocks of that size."""
+    Blocks of any size are cut into parts of bounded size, hubs too; a part leaves each vertex its k nearest."""
     around = graph.select("src", "dst").unionAll(reverse(graph.select("src", "dst")).select("src", "dst")).where("src <> dst").distinct()
-    lists = around.join(labels.select(F.col("id").alias("src"), "label"), "src").select(F.col("label").alias("block"), "src", "dst")
-    vecs = requested(around, labels).join(items.select("id", F.col("vec").cast("array<double>").alias("vec")), "id").select("label", "id", "vec")
+    usable = items.select("id", "vec").where("vec is not null")
+    cells = saved(parts_of_blocks(around, labels, usable.agg(F.max(F.size("vec"))).first()[0] or 1), "cells")
+    vecs = cells.select("label", "part", F.col("dst").alias("id")).distinct().join(usable, "id").select(F.col("label").alias("block"), F.col("part").alias("piece"), "id", "vec")
 
     def meet(near: pa.Table, known: pa.Table) -> pa.Table:
         none = pa.table({"src": pa.array([], pa.int64()), "dst": pa.array([], pa.int64()), "dist": pa.array([], pa.float64())})
@@ -128,20 +148,32 @@ def descent_round_blocks(graph: DataFrame, items: DataFrame, labels: DataFrame,
         ids, x = np.asarray(known.column("id")), vectors.matrix(known.column("vec"))
         order = np.argsort(ids)
         ids, x = ids[order], x[order]
-        src, dst = np.asarray(near.column("src")), np.searchsorted(ids, np.asarray(near.column("dst")))
-        order = np.argsort(src, kind="stable")
-        out = set()
-        for own in np.split(dst[order], np.flatnonzero(np.diff(src[order])) + 1):
-            own = np.sort(own)
-            left, right = np.triu_indices(len(own), 1)
-            out.update(zip(own[left].tolist(), own[right].tolist()))
-        if not out:
+        src, ba, bb, own, dst = (np.asarray(near.column(c)) for c in ("src", "ba", "bb", "own", "dst"))
+        at = np.minimum(np.searchsorted(ids, dst), len(ids) - 1)
+        order = np.lexsort((at, bb, ba, src))
+        order = order[ids[at[order]] == dst[order]]
+        src, ba, bb, own, at = src[order], ba[order], bb[order], own[order], at[order]
+        cuts = np.flatnonzero((np.diff(src) != 0) | (np.diff(ba) != 0) | (np.diff(bb) != 0)) + 1
+        found = [np.zeros(0, np.int64)]
+        for cell in np.split(np.arange(len(at)), cuts):
+            left, right = np.triu_indices(len(cell), 1)
+            left, right = cell[left], cell[right]
+            if len(cell) and ba[cell[0]] != bb[cell[0]]:
+                apart = own[left] != own[right]
+                left, right = left[apart], right[apart]
+            found.append(at[left] * len(ids) + at[right])
+        pair = np.unique(np.concatenate(found))
+        a, b = pair // len(ids), pair % len(ids)
+        if not len(a):
             return none
-        pair = np.array(sorted(out))
-        return pa.table({"src": ids[pair[:, 0]], "dst": ids[pair[:, 1]], "dist": vectors.rowwise(metric, x[pair[:, 0]], x[pair[:, 1]])})
-
-    new = lists.groupBy("block").cogroup(vecs.groupBy("label")).applyInArrow(meet, "src long, dst long, dist double")
-    return nearest(graph.select("src", "dst", "dist").unionAll(new).unionAll(new.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "dist")), k)
+        dist = np.concatenate([vectors.rowwise(metric, x[a[i : i + ROWS]], x[b[i : i + ROWS]]) for i in range(0, len(a), ROWS)])
+        a, b, dist = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([dist, dist])
+        by = np.lexsort((b, dist, a))
+        by = by[np.arange(len(by)) - np.searchsorted(a[by], a[by]) < k]
+        return pa.table({"src": ids[a[by]], "dst": ids[b[by]], "dist": dist[by]})
+
+    new = cells.groupBy("label", "part").cogroup(vecs.groupBy("block", "piece")).applyInArrow(meet, "src long, dst long, dist double")
+    return nearest(graph.select("src", "dst", "dist").unionAll(new), k)
 
 
 def centers(items: DataFrame, n: int, seed: int) -> DataFrame:
