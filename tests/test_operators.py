@@ -313,6 +313,28 @@ def test_blocks_are_cut_into_parts_of_bounded_size(spark, monkeypatch):
     assert got == want
 
 
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_buckets_meet_in_tasks_and_no_candidate_is_shuffled(items):
+    for family, options in ((SimHash(4, 3, 8, 1), {}), (E2LSH(3, 2, 8, 2.0, 1), {"exclude_self": True}), (AllPairsSimHash(6, 4, 8, 1), {"radius": 1.2})):
+        asked = items.where("id < 40")
+        got = search.lsh_join(asked, items, family, **options)
+        assert "Exchange" not in plan(got) and "Join" not in plan(got)
+        want = search.verify(search.candidates(family.signatures(asked), search.build_index(items, family), options.get("exclude_self", False)), asked, items, family.metric, options.get("radius"))
+        rows = lambda df: sorted((r["query_id"], r["item_id"], round(r["dist"], 6)) for r in df.collect())
+        assert rows(got) == rows(want)
+
+
+def test_expansion_makes_rows_only_of_pairs_within_the_radius(items, monkeypatch):
+    """Every vector shares a bucket with every other; only the near pairs are written."""
+    seen = []
+    monkeypatch.setattr(probe, "saved", lambda df, name, f=probe.saved: seen.append((name, out := f(df, name))) or out)
+    probe.expand_search(items.where("id < 20"), items, AllPairsSimHash(10, 2, 8, 1), 0.3, 4).collect()
+    assert sum(df.count() for _, df in seen) < 200
+
+
 def test_top_k_ties(spark):
     df = spark.createDataFrame([(0, i, float(5 - i)) for i in range(5)] + [(1, 9, 1.0), (1, 8, 1.0)], "query_id long, item_id long, dist double")
     got = search.top_k(df, 3).orderBy("query_id", "rank").collect()

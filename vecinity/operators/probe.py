@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from vecinity.functions.vectors import matrix
 from vecinity.operators.families import HashFamily
-from vecinity.operators.search import build_index, top_k, verify
+from vecinity.operators.search import bucket_pairs, build_index, top_k, verify
 from vecinity.plans.lineage import saved
 
 
@@ -144,17 +144,22 @@ def rounds_search(queries: DataFrame, items: DataFrame, family: HashFamily, stra
 def expand_search(queries: DataFrame, items: DataFrame, family: HashFamily, radius: float = 0.9, max_iter: int = 5) -> DataFrame:
     """(query_id, item_id, dist, round): items within the radius, found from the query's buckets and then from those of accepted items.
 
-    Runs at most max_iter - 1 rounds or until a round finds nothing; a round's answers are written, so lineage stays short."""
-    index = saved(build_index(items, family), "expand-index")
-    frontier = family.signatures(queries).withColumnRenamed("id", "query_id").select("query_id", "table", "sig")
-    result = None
-    for n in range(max(1, max_iter - 1)):
-        found = frontier.join(index.withColumnRenamed("id", "item_id"), ["table", "sig"]).select("query_id", "item_id").distinct()
-        if result is not None:
-            found = found.join(result.select("query_id", "item_id"), ["query_id", "item_id"], "left_anti")
-        new = saved(verify(found, queries, items, family.metric, radius).withColumn("round", F.lit(n)), "expand-round")
-        result = new if result is None else result.unionAll(new)
-        if not new.take(1):
+    Runs at most max_iter - 1 rounds or until a round finds nothing. The first round compares in tasks; it leaves the pairs within the radius, told whether
+    they shared a bucket. Of those that did not, a round accepts what shares a bucket with an item accepted for the query in the round before: candidates
+    beyond the radius, whose number grows with the square of the buckets, are never made into rows. Rounds are written, so lineage stays short."""
+    near = saved(bucket_pairs(queries, items, family, radius), "expand-near")
+    new = result = near.where("met").select("query_id", "item_id", "dist", F.lit(0).alias("round"))
+    waiting = near.where("not met").select("query_id", "item_id", "dist")
+    codes = family.signatures(items).groupBy("id").agg(F.collect_list(F.struct("table", "sig")).alias("codes")).select(F.col("id").alias("item_id"), "codes")
+    for n in range(1, max(1, max_iter - 1)):
+        if not waiting.take(1) or not new.take(1):
             break
-        frontier = new.select("query_id", F.col("item_id").alias("id")).join(index, "id").select("query_id", "table", "sig").distinct()
+        asking = new.join(waiting.select("query_id").distinct(), "query_id", "left_semi").select("query_id", "item_id")
+        probes = asking.join(codes, "item_id").select("query_id", F.explode("codes").alias("code")).distinct()
+        asked = waiting.join(codes, "item_id").select("query_id", "item_id", F.explode("codes").alias("code"))
+        found = asked.join(probes, ["query_id", "code"]).select("query_id", "item_id").distinct()
+        round_ = saved(waiting.join(found.withColumn("found", F.lit(True)), ["query_id", "item_id"], "left"), "expand-round")
+        new = round_.where("found").select("query_id", "item_id", "dist", F.lit(n).alias("round"))
+        waiting = round_.where("found is null").select("query_id", "item_id", "dist")
+        result = result.unionAll(new)
     return result
