@@ -335,6 +335,51 @@ def test_expansion_makes_rows_only_of_pairs_within_the_radius(items, monkeypatch
     assert sum(df.count() for _, df in seen) < 200
 
 
+@pytest.mark.parametrize("family", [None, SparseSimHash(6, 4), SparseSimHash(6, 4, all_pairs=True)])
+@pytest.mark.parametrize("signed", [False, True])
+def test_sparse_vectors_meet_in_tasks_and_nothing_is_shuffled(spark, monkeypatch, family, signed):
+    """Frequent and rare indexes, negative values that cancel, an empty and a null vector, several blocks and runs."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(60):
+        idx = sorted({*rng.integers(0, 400, 6).tolist(), *rng.integers(0, 4, 3).tolist()})
+        rows.append((i, [(k, float(rng.choice([-1.0, 1.0])) if signed else float(rng.uniform(0.1, 1))) for k in idx]))
+    rows += [(60, []), (61, None), (62, [(0, 1.0), (900, 1.0)]), (63, [(0, 1.0), (900, -1.0)])]
+    df = spark.createDataFrame(rows, "id long, vec array<struct<idx:int,val:double>>")
+    monkeypatch.setattr(search, "BLOCK_ENTRIES", 100)
+    monkeypatch.setattr(search, "MEETINGS", 200)
+    asked = df.where("id % 2 = 0")
+    vecs = {i: dict(v or []) for i, v in rows}
+    dot = lambda a, b: sum(x * vecs[b].get(k, 0.0) for k, x in vecs[a].items())
+    if family is None:
+        got = search.sparse_products(asked, df)
+        want = {(a, b): dot(a, b) for a in vecs for b in vecs if a % 2 == 0 and vecs[a].keys() & vecs[b].keys()}
+    else:
+        got = search.lsh_join_sparse(asked, df, family, radius=1.3, exclude_self=True)
+        met = search.candidates(family.signatures(asked), family.signatures(df), True).collect()
+        angle = lambda a, b: np.arccos(np.clip(dot(a, b) / (dot(a, a) * dot(b, b)) ** 0.5, -1, 1))
+        want = {(a, b): d for a, b in met if (d := angle(a, b)) <= 1.3}
+    assert "Exchange" not in plan(got) and "Join" not in plan(got)
+    found = got.collect()
+    assert len(found) == len(want) and {(r[0], r[1]): round(r[2], 9) + 0.0 for r in found} == {k: round(v, 9) + 0.0 for k, v in want.items()}
+
+
+def test_sparse_distances(spark):
+    df = spark.createDataFrame([(0, [(0, 1.0), (5, 2.0)]), (1, [(5, 3.0)]), (2, [(7, 1.0)])], "id long, vec array<struct<idx:int,val:double>>")
+    assert [(r[0], r[1], round(r[2], 9)) for r in search.sparse_scan(df.where("id = 0"), df, "e2", exclude_self=True).collect()] == [(0, 1, round(2**0.5, 9))]
+
+
+def test_words_are_counted_without_a_shuffle_and_rows_of_one_id_together(spark, tmp_path):
+    from vecinity.plans import registry
+
+    rows = [(1, "A b b"), (2, None), (3, "12 ..."), (4, "b"), (4, "c\u00e9 B")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["id"]: sorted(round(e["val"], 6) for e in r["vec"]) for r in registry.sparse_items(spark, str(tmp_path)).collect()}
+    assert got == {1: [round(5**-0.5, 6), round(2 * 5**-0.5, 6)], 4: [round(5**-0.5, 6), round(2 * 5**-0.5, 6)]}
+    spark.createDataFrame(rows[:4], "doc_id long, text string").write.parquet(str(tmp_path / "once" / "documents.parquet"))
+    assert "Exchange" not in plan(registry.sparse_items(spark, str(tmp_path / "once")))
+
+
 def test_top_k_ties(spark):
     df = spark.createDataFrame([(0, i, float(5 - i)) for i in range(5)] + [(1, 9, 1.0), (1, 8, 1.0)], "query_id long, item_id long, dist double")
     got = search.top_k(df, 3).orderBy("query_id", "rank").collect()
