@@ -518,6 +518,43 @@ def test_jaccard_cases(spark, odd, none):
     assert sorted(r["n_shingles"] for r in got if r["doc_id"] in (2, 3, 4)) == [0, 0, 0, 1]
 
 
+class Functions:
+    """Takes the place of a table and keeps the functions that it is mapped by."""
+
+    def __init__(self):
+        self.found = []
+
+    def mapInArrow(self, fn, schema):
+        self.found.append(fn)
+        return self
+
+    def repartitionById(self, *_):
+        return self
+
+
+def test_shingles_are_counted_in_bounded_memory(spark):
+    import tracemalloc
+
+    taken = Functions()
+    jaccard_join.counted(taken, 5, 51)
+    send, receive, add = taken.found
+    rng = np.random.default_rng(1)
+    texts = [" ".join(map(str, x)) for x in rng.integers(1000, 10000, (8000, 900))]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8001)), pa.array([*texts, texts[0]])], ["doc_id", "text"])
+    tracemalloc.start()
+    try:
+        peak, sent = 0, []
+        for out in send(iter([batch])):  # what is sent leaves the worker
+            peak, sent = max(peak, tracemalloc.get_traced_memory()[1]), [*sent, out]
+    finally:
+        tracemalloc.stop()
+    assert peak < 240e6
+    back = receive(iter(sent))
+    rows = {r["doc_id"]: r for b in add(back) for r in b.to_pylist()}
+    assert len(rows) == 8001 and {k for k, r in rows.items() if r["shared"] * 2 > r["n_shingles"]} == {0, 8000}
+    assert rows[0]["shared"] == rows[0]["n_shingles"] == 896
+
+
 def test_every_link_is_returned_on_demand(spark):
     base = [f"t{k}" for k in range(60)]
     rows = [(k, " ".join([*base[:59], f"u{k}"])) for k in range(6)]

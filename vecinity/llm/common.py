@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+
 import numpy as np
 import pyarrow as pa
 
@@ -22,6 +25,21 @@ def fresh(columns: list[str], *wanted: str) -> list[str]:
     return out
 
 
+def released(fn):
+    """fn for mapInArrow; after a task's last batch freed memory goes back to the system, since Spark keeps the worker and what it holds counts beside later stages."""
+
+    @functools.wraps(fn)
+    def run(batches):
+        yield from fn(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # a C library without it
+            pass
+
+    return run
+
+
 #: Base of the polynomial word hash and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)

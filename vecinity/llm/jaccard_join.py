@@ -30,13 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecinity.llm.common import PLACES, SPACED, U, chunks, mix, ngrams, partitions, saved, text_bytes, words
+from vecinity.llm.common import PLACES, SPACED, U, chunks, mix, ngrams, partitions, released, saved, text_bytes, words
 from vecinity.operators.components import connected_components
 
 N = 5
 THRESHOLD = 80
 #: Bytes of text whose shingles a task gathers before it sends them.
 FLUSH = 24 << 20
+#: Bytes of text whose shingles are made at once, and of shingles that a batch sends.
+PIECE = 4 << 20
 #: Shingles of a cluster that one task joins at once.
 BLOCK = 1_500_000
 
@@ -111,48 +113,55 @@ _SENT = [("kind", pa.int32()), ("part", pa.int32()), ("owners", pa.binary()), ("
 def counted(docs: DataFrame, n: int, parts: int) -> DataFrame:
     """Step 1: (key, doc_id, rows, n_shingles, shared) of each document; shared counts shingles that others have as well."""
 
+    @released
     def send(batches):
         held, size = [], 0
         for batch in batches:
             data, offsets = text_bytes(batch.column(1))
             ids = np.array(batch.column(0).fill_null(0).to_numpy(zero_copy_only=False), np.int64)
             null = np.array(batch.column(0).is_null())
-            for i, j in chunks(offsets, FLUSH):
-                held.append((ids[i:j], null[i:j], *shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], n)))
+            for i, j in chunks(offsets, PIECE):
+                tokens, sizes = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], n)
+                a, b = digests(tokens, sizes)
+                keys = mix(mix(ids[i:j].astype(U) * U(2) + null[i:j].astype(U)) + a + b * U(3)).astype(np.int64)
+                held.append((ids[i:j], null[i:j], keys, sizes, tokens, ((tokens >> U(32)) % U(parts)).astype(np.uint16 if parts <= 1 << 16 else np.int64)))
                 size += int(offsets[j] - offsets[i])
                 if size >= FLUSH:
                     yield from flush(held)
-                    held, size = [], 0
+                    size = 0
         if held:
             yield from flush(held)
 
     def flush(held):
-        ids, null, tokens, sizes = (np.concatenate([h[k] for h in held]) for k in range(4))
-        a, b = digests(tokens, sizes)
-        keys = mix(mix(ids.astype(U) * U(2) + null.astype(U)) + a + b * U(3)).astype(np.int64)
-        row = np.repeat(np.arange(len(ids), dtype=np.int64), sizes)
-        several = repeated(tokens)
-        local = np.bincount(row[several], minlength=len(ids))
+        ids, null, keys, sizes, tokens, part = (np.concatenate([h[k] for h in held]) for k in range(6))
+        held.clear()
+        row = np.repeat(np.arange(len(ids), dtype=np.int32), sizes)
+        ends = np.concatenate([[0], np.cumsum(np.bincount(part, minlength=parts))]).tolist()
+        order = np.argsort(part, kind="stable")
+        shared = np.zeros(len(tokens), bool)
+        rows, weight = [], 0
+        # Equal shingles have one part, so each part is settled by itself.
+        for p in range(parts):
+            at = order[ends[p] : ends[p + 1]]
+            if not len(at):
+                continue
+            own, owner = tokens[at], row[at]
+            several = repeated(own)
+            shared[at] = several
+            if several.any():
+                rows.append(_sent(2, p, np.zeros(0), np.zeros(0), (np.unique(own[several]) & U(0xFFFFFFFF)).astype("<u4")))
+            own, owner = (own[~several] & U(0xFFFFFFFF)).astype("<u4"), owner[~several]
+            if len(own):
+                first = np.flatnonzero(np.diff(owner, prepend=-1))
+                rows.append(_sent(0, p, keys[owner[first]], np.diff(np.append(first, len(own))), own))
+            weight += 4 * len(at)
+            if weight >= PIECE:
+                yield _batch(rows, _SENT)
+                rows, weight = [], 0
+        local = np.bincount(row[shared], minlength=len(ids))
         # Documents themselves: id, set size and what is shared inside this task.
-        yield _batch([(1, int(keys[g[0]] % parts) if len(g) else 0, np.stack([keys[g], ids[g], null[g].astype(np.int64), sizes[g], local[g]]).astype("<i8").tobytes(), b"", b"") for g in np.array_split(np.arange(len(ids)), max(1, len(ids) // 20000))], _SENT)
-        for kind, pick in ((2, several), (0, ~several)):
-            own = np.unique(tokens[pick]) if kind == 2 else tokens[pick]
-            owner = row[pick] if kind == 0 else np.zeros(len(own), np.int64)
-            part = ((own >> U(32)) % U(parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            own, owner, part = (own[order] & U(0xFFFFFFFF)).astype("<u4"), owner[order], part[order]
-            ends = np.searchsorted(part, np.arange(parts + 1))
-            rows = []
-            for p in range(parts):
-                x, y = int(ends[p]), int(ends[p + 1])
-                if x == y:
-                    continue
-                if kind == 2:
-                    rows.append(_sent(2, p, np.zeros(0), np.zeros(0), own[x:y]))
-                    continue
-                first = np.flatnonzero(np.diff(owner[x:y], prepend=-1))
-                rows.append(_sent(0, p, keys[owner[x:y][first]], np.diff(np.append(first, y - x)), own[x:y]))
-            yield _batch(rows, _SENT)
+        rows += [(1, int(keys[g[0]] % parts) if len(g) else 0, np.stack([keys[g], ids[g], null[g].astype(np.int64), sizes[g], local[g]]).astype("<i8").tobytes(), b"", b"") for g in np.array_split(np.arange(len(ids)), max(1, len(ids) // 20000))]
+        yield _batch(rows, _SENT)
 
     def packed(kind, keys, columns):
         """One row per home partition of the keys."""
@@ -163,6 +172,7 @@ def counted(docs: DataFrame, n: int, parts: int) -> DataFrame:
 
     home_schema = [("kind", pa.int32()), ("part", pa.int32()), ("rows", pa.binary())]
 
+    @released
     def receive(batches):
         by: dict[int, list] = {}
         documents, shared = [], []
@@ -172,22 +182,29 @@ def counted(docs: DataFrame, n: int, parts: int) -> DataFrame:
                     documents.append(np.frombuffer(owners, "<i8").reshape(5, -1))
                 else:
                     by.setdefault(part, []).append((owners, counts, tokens))
-        for rows in by.values():
+        for part in list(by):
+            rows = by.pop(part)
             tokens = np.concatenate([np.frombuffer(t, "<u4") for _, _, t in rows])
             keys = np.concatenate([np.repeat(np.frombuffer(o, "<i8"), np.frombuffer(c, "<u4")) if o else np.zeros(len(t) // 4, np.int64) for o, c, t in rows])
             owned = np.concatenate([np.full(len(t) // 4, bool(o)) for o, _, t in rows])
-            joint = np.sort((tokens.astype(U) << U(32)) | np.arange(len(tokens), dtype=U))
-            same = np.zeros(len(joint), bool)
-            equal = (joint[1:] >> U(32)) == (joint[:-1] >> U(32))
-            same[1:] |= equal
-            same[:-1] |= equal
-            places = (joint[same] & U(0xFFFFFFFF)).astype(np.int64)
-            shared.append(np.stack(np.unique(keys[places[owned[places]]], return_counts=True)))
+            rows.clear()
+            seen = []
+            for k in range(4):  # equal tokens lie in one quarter
+                at = np.flatnonzero(tokens >> np.uint32(30) == k).astype(U)
+                joint = np.sort((tokens[at].astype(U) << U(32)) | at)
+                same = np.zeros(len(joint), bool)
+                equal = (joint[1:] >> U(32)) == (joint[:-1] >> U(32))
+                same[1:] |= equal
+                same[:-1] |= equal
+                places = (joint[same] & U(0xFFFFFFFF)).astype(np.int64)
+                seen.append(keys[places[owned[places]]])
+            shared.append(np.stack(np.unique(np.concatenate(seen), return_counts=True)))
         for kind, found in ((1, documents), (0, shared)):
             if found:
                 found = np.concatenate(found, 1)
                 yield _batch(packed(kind, found[0], found), home_schema)
 
+    @released
     def add(batches):
         documents, shared = [np.zeros((5, 0), np.int64)], [np.zeros((2, 0), np.int64)]
         for batch in batches:
@@ -208,10 +225,11 @@ def counted(docs: DataFrame, n: int, parts: int) -> DataFrame:
 def sets(docs: DataFrame, n: int) -> DataFrame:
     """(doc_id, n, a, b, tokens): set size, digest and sorted shingles of each document that has any."""
 
+    @released
     def run(batches):
         for batch in batches:
             data, offsets = text_bytes(batch.column(1))
-            for i, j in chunks(offsets, 4 << 20):
+            for i, j in chunks(offsets, PIECE):
                 tokens, sizes = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], n)
                 a, b = digests(tokens, sizes)
                 ends = np.concatenate([[0], np.cumsum(sizes)])
@@ -229,6 +247,7 @@ def needed(n: int, threshold: int) -> int:
 def ordered(classes: DataFrame, threshold: int, parts: int) -> DataFrame:
     """Step 3: (rep, n, m, counts, tokens): shingles that other classes share, by ascending (count, hash); m of them are in the prefix."""
 
+    @released
     def send(batches):
         for batch in batches:
             reps, sizes = np.array(batch.column(0), np.int64), np.array(batch.column(1), np.int64)
@@ -247,6 +266,7 @@ def ordered(classes: DataFrame, threshold: int, parts: int) -> DataFrame:
                     rows.append(_sent(0, p, np.stack([reps[who], sizes[who]]), np.diff(np.append(first, len(own))), tokens[own].astype("<u8")))
             yield _batch(rows, _SENT)
 
+    @released
     def receive(batches):
         rows = [r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns))]
         if not rows:
@@ -268,6 +288,7 @@ def ordered(classes: DataFrame, threshold: int, parts: int) -> DataFrame:
             if len(k):
                 yield _batch([(p, np.stack([owner[k], size[k], df[k], tokens[k].astype(np.int64)]).astype("<i8").tobytes())], [("part", pa.int32()), ("rows", pa.binary())])
 
+    @released
     def arrange(batches):
         found = [np.frombuffer(x, "<i8").reshape(4, -1) for batch in batches for x in batch.column(1).to_pylist()]
         if not found:
@@ -533,6 +554,7 @@ def clustered_links(sets_: DataFrame, clusters: DataFrame, threshold: int, block
     keyed = spread.select("label", F.col("place.ca").alias("ca"), F.col("place.ba").alias("ba"), F.col("place.cb").alias("cb"), F.col("place.bb").alias("bb"), F.col("place.side").alias("side"), "rep", "n", "counts", "tokens")
     keys = ["label", "ca", "ba", "cb", "bb"]
 
+    @released
     def join(batches):
         now, held = None, []
         links: list = []
