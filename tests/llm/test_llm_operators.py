@@ -555,6 +555,17 @@ def test_shingles_are_counted_in_bounded_memory(spark):
     assert rows[0]["shared"] == rows[0]["n_shingles"] == 896
 
 
+def test_language_id_sends_a_kept_text_once(odd, monkeypatch):
+    model = language.fit(odd, "text", "lang", "doc_id")
+    sent, whole = [], type(odd).mapInArrow
+    monkeypatch.setattr(type(odd), "mapInArrow", lambda self, *x: sent.append(self.columns) or whole(self, *x))
+    alone, kept = language.predict(odd, model, keep=["doc_id"]), language.predict(odd, model)
+    assert sent == [["doc_id", "whole_text"], odd.columns]
+    assert kept.columns == [*odd.columns, "lang_pred", "score"]
+    plain = lambda df: sorted(map(str, df.select("doc_id", "lang_pred", "score").collect()))
+    assert plain(kept) == plain(alone) and kept.select(*odd.columns).exceptAll(odd).count() == 0
+
+
 def test_every_link_is_returned_on_demand(spark):
     base = [f"t{k}" for k in range(60)]
     rows = [(k, " ".join([*base[:59], f"u{k}"])) for k in range(6)]

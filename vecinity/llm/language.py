@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-from vecinity.llm.common import fresh, mix
+from vecinity.llm.common import chunks, fresh, mix, released, text_bytes
 
 DIMENSIONS = 1 << 16
 ORDERS = (1, 2, 3)
@@ -121,6 +121,7 @@ def fit(labelled: DataFrame, text: str, lang: str, key: str, most: int = MAX_PER
 
     sample = rows.where(share(most)).select("lang", "text")
 
+    @released
     def count(batches):
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
@@ -151,6 +152,7 @@ def calibrated(sample: DataFrame, names: list[str], matrix: np.ndarray) -> tuple
     """The temperature under which the sample's languages are likeliest, and the level of other texts."""
     shared = sample.sparkSession.sparkContext.broadcast(matrix.astype(float))
 
+    @released
     def run(batches):
         for batch in batches:
             means, sizes = likelihoods(batch.column(1).to_pylist(), shared.value)
@@ -169,22 +171,28 @@ def calibrated(sample: DataFrame, names: list[str], matrix: np.ndarray) -> tuple
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, float, float], text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns keep of docs (all by default), lang_pred string and score double."""
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
-    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias(*fresh([*keep, "lang_pred", "score"], "whole_text")))
-    schema = StructType([*source.schema.fields[:-1], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    kept = [F.col(f"`{c}`") for c in keep]
+    # A text that is kept is sent to the workers once.
+    at = keep.index(text) if text in keep else len(keep)
+    source = docs.select(*kept, *([] if text in keep else [F.col(f"`{text}`").alias(*fresh([*keep, "lang_pred", "score"], "whole_text"))]))
+    schema = StructType([*source.schema.fields[: len(keep)], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast((model[0], model[1].astype(float), model[2:]))
 
+    @released
     def run(batches):
         names, table, fitted = shared.value
         for batch in batches:
-            column = batch.column(len(batch.columns) - 1).to_pylist()
-            known = has_letters(column) & bool(names)
-            best, score = np.zeros(len(column), np.int64), np.zeros(len(column))
-            if known.any():
-                means, _ = likelihoods([t or "" for t in column], table)
-                best = means.argmax(1)
-                score = posterior(means, *fitted)[np.arange(len(best)), best]
+            column = batch.column(at)
+            known, best, score = np.zeros(len(column), bool), np.zeros(len(column), np.int64), np.zeros(len(column))
+            for i, j in chunks(text_bytes(column)[1], TOGETHER):
+                texts = column.slice(i, j - i).to_pylist()
+                known[i:j] = has_letters(texts) & bool(names)
+                if known[i:j].any():
+                    means, _ = likelihoods([t or "" for t in texts], table)
+                    best[i:j] = means.argmax(1)
+                    score[i:j] = posterior(means, *fitted)[np.arange(j - i), best[i:j]]
             preds = [names[b] if k else "und" for b, k in zip(best, known)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(preds, pa.string()), pa.array(np.where(known, score, 0.0))], [*batch.schema.names[:-1], "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(preds, pa.string()), pa.array(np.where(known, score, 0.0))], [*batch.schema.names[: len(keep)], "lang_pred", "score"])
 
     return source.mapInArrow(run, schema)
 
