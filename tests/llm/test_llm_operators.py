@@ -604,6 +604,38 @@ def test_encoder_gives_the_library_ids(parts):
         assert encoder.encode(text).tolist() == plain.encode(text, add_special_tokens=False).ids
 
 
+def test_encoder_costs_about_what_the_ranks_cost():
+    """On invented words, of which few come back; the best of five slices."""
+    import time
+
+    import public_tokenizers
+
+    encoder = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(3)
+    texts = [" ".join("".join(rng.choices("abdeilnorst", k=rng.randrange(4, 10))) for _ in range(2000)) for _ in range(50)]
+
+    def best(fn):
+        took, found = [], []
+        for k in range(0, 50, 10):
+            began = time.process_time()
+            found += [fn(t) for t in texts[k : k + 10]]
+            took.append(time.process_time() - began)
+        return min(took), found
+
+    (plain, ids), (own, got) = best(encoder.ranked.encode_ordinary), best(encoder.encode)
+    assert [x.tolist() for x in got] == ids and own < 1.25 * plain
+
+
+def test_every_kind_of_character_is_encoded_alike():
+    """The two encoders' patterns know the same letters, numbers and spaces: one in 97 code points, and all below U+3100."""
+    import public_tokenizers
+
+    encoder = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    points = [c for c in [*range(0x3100), *range(0x3100, 0x110000, 97)] if not 0xD800 <= c < 0xE000]
+    texts = [f"a{c}b {c} {c}{c}1{c}\n{c} \n {c}  {c}x'{c}'s " for c in map(chr, points)]
+    assert [encoder.encode(t).tolist() for t in texts] == [x.ids for x in encoder.whole.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_special_token_in_a_text():
     import public_tokenizers
 

@@ -7,9 +7,8 @@ few tasks whose number follows the leftovers (MERGED windows each). Only piece d
 shuffled in that pass, never token ids, so it is small: at most OPEN windows a task.
 
 Token ids are those that the tokenizers library gives for the file given, with add_special_tokens=False: nothing is added, and a special token's
-string inside a text is that token, unless `special_as_text`. For byte-level BPE whose ranks are its ids, pieces of text between blanks
-are encoded once per task and remembered (at most CACHE entries); a text in which white space stands next to a blank, or that holds
-the string of an added token, is encoded whole by the library.
+string inside a text is that token, unless `special_as_text`. For byte-level BPE whose ranks are its ids a text is encoded by tiktoken with the same
+ranks and the same pattern, which costs less than remembering the pieces between blanks; a text that holds the string of an added token is encoded by the library.
 
 Defined results: a null text is the empty text: one piece, the end id alone; very long documents fill whole windows; repeated
 rows are packed each for itself; an empty table gives no rows; further columns are not read. The id of a sequence is unique
@@ -31,7 +30,6 @@ from pyspark.sql.types import LongType, StructField, StructType
 SIZE = 2048
 OPEN = 64
 END = 1
-CACHE = 400_000
 #: Leftover windows that one task of the final pass merges.
 MERGED = 20_000
 
@@ -54,12 +52,6 @@ class Encoder:
         self.whole.encode_special_tokens = special_as_text
         self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.ranked = self._ranked(path)
-        self.clear()
-
-    def clear(self):
-        self.index: dict[str, int] = {}
-        self.flat, self.used, self.n = np.zeros(1 << 20, np.uint32), 0, 0
-        self.begin, self.length = np.zeros(CACHE + 1, np.int64), np.zeros(CACHE + 1, np.int32)
 
     def _ranked(self, path: str):
         """The same vocabulary for tiktoken, if ids are ranks; checked against the tokenizers library."""
@@ -76,45 +68,12 @@ class Encoder:
         probe = "It's 12 o'clock,\n\tnaïve Ünïcode—words  <|end of text|> é  x\r\n" + " thonble éelle über señor" * 3
         return got if got.encode_ordinary(probe) == self.whole.encode(probe, add_special_tokens=False).ids else None
 
-    def _piece(self, piece: str, lead: bool) -> int:
-        """The number of a piece (with a blank before it if lead), or -1 if it can't be encoded apart."""
-        inner = piece
-        if not inner or inner[0].isspace() or inner[-1].isspace():
-            return -1
-        try:
-            ids = self.ranked.encode_ordinary(" " + piece if lead else piece)
-        except BaseException:  # a text that is too odd for the quick way
-            return -1
-        k, end = self.n, self.used + len(ids)
-        if end > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(max(end, len(self.flat)), np.uint32)])
-        self.flat[self.used : end] = ids
-        self.begin[k], self.length[k] = self.used, len(ids)
-        self.used, self.n = end, k + 1
-        return k
-
     def encode(self, text: str) -> np.ndarray:
-        if not text:
-            return np.zeros(0, np.uint32)
         if self.ranked is not None and not any(t in text for t in self.added):
-            pieces = text.split(" ")
-            pieces[0] = "\0" + pieces[0]  # no blank before it
-            if len(self.index) + len(pieces) > CACHE:
-                self.clear()
-            if len(pieces) <= CACHE:
-                get = self.index.get
-                found = [get(p, -2) for p in pieces]
-                if -2 in found:
-                    for k, (p, at) in enumerate(zip(pieces, found)):
-                        if at == -2:
-                            if (at := get(p, -2)) == -2:
-                                self.index[p] = at = self._piece(p[1:], False) if k == 0 else self._piece(p, True) if p[:1] != "\0" else -1
-                            found[k] = at
-                if -1 not in found:
-                    found = np.array(found)
-                    sizes = self.length[found]
-                    ends = np.cumsum(sizes)
-                    return self.flat[np.repeat(self.begin[found] - ends + sizes, sizes) + np.arange(ends[-1])]
+            try:
+                return self.ranked.encode_to_numpy(text)
+            except BaseException:  # a text that is too odd for the quick way
+                pass
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
