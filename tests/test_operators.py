@@ -5,7 +5,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from vecinity.functions import vectors
-from vecinity.operators import aggregates, evaluate, graph, learn, probe, search
+from vecinity.operators import aggregates, components, evaluate, graph, learn, probe, search
 from vecinity.operators.components import connected_components
 from vecinity.operators.families import E2LSH, AllPairsSimHash, PCAHash, RotatedPCAHash, SimHash, SparseSimHash, pack
 
@@ -172,6 +172,29 @@ def test_components(spark, edges):
     assert got == {v: c for v, c in label.items() if any(v in e and e[0] != e[1] for e in edges)}
 
 
+@given(st.lists(st.tuples(st.integers(-20, 60), st.integers(-20, 60)), max_size=60))
+@settings(max_examples=300, deadline=None)
+def test_edges_settled_in_one_task(edges):
+    label = {v: v for e in edges for v in e}
+    for _ in label:
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    u, v = np.array(edges, np.int64).reshape(-1, 2).T
+    ids, got = components.settled(u, v)
+    assert dict(zip(ids.tolist(), got.tolist())) == label
+
+
+def test_small_edge_tables_take_few_jobs(spark, monkeypatch):
+    """A path of 300: in one task, or by rounds, the same components; only the rounds write a table each."""
+    written, save = [], components.saved
+    monkeypatch.setattr(components, "saved", lambda df, name: written.append(name) or save(df, name))
+    path = spark.range(300).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    want = {(v, 0) for v in range(301)}
+    assert {tuple(r) for r in connected_components(path).collect()} == want and len(written) == 2
+    assert {tuple(r) for r in connected_components(path, small=299).collect()} == want and len(written) > 5
+    assert connected_components(path.where("src < 0")).columns == ["id", "label"]
+
+
 def test_long_path_is_one_component(spark):
     path = spark.range(10_000).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
     assert {tuple(r) for r in connected_components(path).select("label").distinct().collect()} == {(0,)}

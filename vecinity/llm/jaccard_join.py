@@ -526,18 +526,28 @@ def join_group(reps: np.ndarray, sizes: np.ndarray, blobs: list[np.ndarray], cou
     return links
 
 
-def clustered_links(sets_: DataFrame, clusters: DataFrame, threshold: int, block: int, parts: int, every: bool, across: bool = True) -> DataFrame:
-    """Steps 4 and 5: (src, dst) of classes that link; of large clusters also across blocks, or only inside them."""
+def oversized(sets_: DataFrame, clusters: DataFrame, threshold: int, block: int) -> DataFrame | None:
+    """The labels of clusters above `block` shingles (all shingles over `block` at most); None if there are none."""
+    weight = F.col("m") - 1 + F.expr(f"({threshold} * n + 99) div 100")  # m came from it
+    rows = sets_.select(F.col("rep").alias("id"), weight.alias("own")).join(clusters, "id")
+    found = saved(rows.groupBy("label").agg(F.sum("own").alias("all")).where(F.col("all") > block).select("label"), "jaccard-oversized")
+    return found if found.take(1) else None
+
+
+def clustered_links(sets_: DataFrame, clusters: DataFrame, big: DataFrame | None, threshold: int, block: int, parts: int, every: bool, across: bool = True) -> DataFrame:
+    """Steps 4 and 5: (src, dst) of classes that link; of the large clusters `big` also across blocks, or only inside them."""
     step = float(np.log(100 / threshold))
     rows = sets_.join(clusters.withColumnRenamed("id", "rep"), "rep").withColumn("class", F.floor(F.log(F.col("n").cast("double")) / step + 1e-9).cast("int"))
-    weight = (F.length("tokens") / 8).cast("long")
-    whole = rows.groupBy("label").agg(F.sum(weight).alias("all"), F.count(F.lit(1)).alias("sets")).where("sets > 1").select("label", "all")
-    classes = rows.groupBy("label", "class").agg(F.sum(weight).alias("own")).withColumn("blocks", F.ceil(F.col("own") / block).cast("int")).select("label", "class", "blocks")
-    sizes = classes.join(whole, "label").withColumn("blocks", F.when(F.col("all") <= block, F.lit(0)).otherwise(F.col("blocks")))
-    near = sizes.select("label", (F.col("class") - 1).alias("class"), F.col("blocks").alias("above"))
-    below = sizes.select("label", (F.col("class") + 1).alias("class"), F.col("blocks").alias("under"))
-    plan = sizes.join(near, ["label", "class"], "left").join(below, ["label", "class"], "left").select("label", "class", "blocks", F.coalesce("above", F.lit(0)).alias("above"), F.coalesce("under", F.lit(0)).alias("under"))
-    rows = rows.join(plan, ["label", "class"]).withColumn("b", F.when(F.col("blocks") > 0, F.pmod(F.xxhash64("rep"), F.col("blocks"))).otherwise(F.lit(0)).cast("int"))
+    if big is None:
+        rows = rows.select("*", *[F.lit(0).alias(c) for c in ("blocks", "above", "under", "b")])
+    else:
+        weight = (F.length("tokens") / 8).cast("long")
+        sizes = saved(rows.join(big, "label", "left_semi").groupBy("label", "class").agg(F.sum(weight).alias("own")).withColumn("blocks", F.ceil(F.col("own") / block).cast("int")).select("label", "class", "blocks"), "jaccard-sizes")
+        near = sizes.select("label", (F.col("class") - 1).alias("class"), F.col("blocks").alias("above"))
+        below = sizes.select("label", (F.col("class") + 1).alias("class"), F.col("blocks").alias("under"))
+        plan = saved(sizes.join(near, ["label", "class"], "left").join(below, ["label", "class"], "left"), "jaccard-plan")
+        rows = rows.join(plan, ["label", "class"], "left").fillna(0, ["blocks", "above", "under"])
+        rows = rows.withColumn("b", F.when(F.col("blocks") > 0, F.pmod(F.xxhash64("rep"), F.col("blocks"))).otherwise(F.lit(0)).cast("int"))
 
     def places(n, fn):
         return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), fn)).otherwise(F.array().cast("array<struct<ca:int,ba:int,cb:int,bb:int,side:int>>"))
@@ -584,11 +594,9 @@ def clustered_links(sets_: DataFrame, clusters: DataFrame, threshold: int, block
     return keyed.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(join, "src long, dst long")
 
 
-def large(sets_: DataFrame, clusters: DataFrame, block: int) -> DataFrame | None:
-    """The sets of clusters above `block` shingles; None if no cluster is."""
-    rows = sets_.join(clusters.withColumnRenamed("id", "rep"), "rep")
-    sizes = rows.groupBy("label").agg(F.sum(F.length("tokens") / 8).alias("all")).where(F.col("all") > block).select("label")
-    return saved(rows.join(sizes, "label", "left_semi").drop("label"), "jaccard-large") if sizes.take(1) else None
+def large(sets_: DataFrame, clusters: DataFrame, big: DataFrame) -> DataFrame:
+    """The sets of the clusters `big`."""
+    return saved(sets_.join(clusters.join(big, "label", "left_semi").select(F.col("id").alias("rep")), "rep", "left_semi"), "jaccard-large")
 
 
 def unsettled(sets_: DataFrame, links: DataFrame) -> DataFrame:
@@ -614,10 +622,10 @@ def large_links(sets_: DataFrame, links: DataFrame, threshold: int, block: int,
     of = connected_components(first).select(F.col("id").alias("rep"), F.col("label").alias("component"))
     leaders = saved(sets_.join(of.where("rep <> component"), "rep", "left_anti"), "jaccard-leaders")
     groups = connected_components(cluster_edges(leaders, threshold, parts))
-    second = saved(clustered_links(leaders, groups, threshold, block, parts, False, across=False), "jaccard-links")
+    second = saved(clustered_links(leaders, groups, oversized(leaders, groups, threshold, block), threshold, block, parts, False, across=False), "jaccard-links")
     rest = saved(unsettled(sets_, first.unionAll(second)), "jaccard-rest")
     groups = connected_components(cluster_edges(rest, threshold, parts))
-    return second.unionAll(saved(clustered_links(rest, groups, threshold, block, parts, False), "jaccard-links"))
+    return second.unionAll(saved(clustered_links(rest, groups, oversized(rest, groups, threshold, block), threshold, block, parts, False), "jaccard-links"))
 
 
 def similar(docs: DataFrame, n: int = N, threshold: int = THRESHOLD, key: str = "doc_id", text: str = "text", block: int = BLOCK, every: bool = False) -> dict[str, DataFrame]:
@@ -633,11 +641,10 @@ def similar(docs: DataFrame, n: int = N, threshold: int = THRESHOLD, key: str =
     classes = found.groupBy("a", "b").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("tokens").alias("tokens"))
     sets_ = saved(ordered(classes, threshold, parts), "jaccard-ordered")
     clusters = connected_components(cluster_edges(sets_, threshold, parts))
-    links = saved(clustered_links(sets_, clusters, threshold, block, parts, every, across=every), "jaccard-links")
-    if not every:
-        hot = large(sets_, clusters, block)
-        if hot is not None:
-            links = links.unionAll(large_links(hot, links, threshold, block, parts))
+    big = oversized(sets_, clusters, threshold, block)
+    links = saved(clustered_links(sets_, clusters, big, threshold, block, parts, every, across=every), "jaccard-links")
+    if big is not None and not every:
+        links = links.unionAll(large_links(large(sets_, clusters, big), links, threshold, block, parts))
     # Written first: joined as a table, Spark can split the rows of a hot class.
     reps = saved(found.groupBy("a", "b").agg(F.min("doc_id").alias("rep")), "jaccard-reps")
     members = found.select("doc_id", "a", "b").join(reps, ["a", "b"]).select("doc_id", "rep").distinct()
