@@ -1,3 +1,5 @@
+from decimal import ROUND_HALF_UP, Decimal
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -392,6 +394,43 @@ def test_sparse_distances(spark):
     assert [(r[0], r[1], round(r[2], 9)) for r in search.sparse_scan(df.where("id = 0"), df, "e2", exclude_self=True).collect()] == [(0, 1, round(2**0.5, 9))]
 
 
+@pytest.mark.parametrize("metric", ["dot", "arc"])
+@pytest.mark.parametrize("large", [False, True])
+def test_rounded_answers_leave_a_task_by_value(spark, monkeypatch, metric, large):
+    """All answers, each rounded half away from zero, ascending in each held part; several blocks, runs and held parts, repeated ids, values too large to hold."""
+    rng = np.random.default_rng(6)
+    values = [-0.3, 0.5, 0.001, 1.2345675, 1e9] if large else [-0.3, 0.5, 0.001, 0.0000005]
+    rows = [(i % 55, [(int(k), float(rng.choice(values))) for k in sorted({*rng.integers(0, 9, 4).tolist()})]) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, vec array<struct<idx:int,val:double>>").coalesce(1)
+    monkeypatch.setattr(search, "BLOCK_ENTRIES", 80)
+    monkeypatch.setattr(search, "MEETINGS", 200)
+    plain = search.sparse_scan(df.where("id % 2 = 0"), df, metric).collect()
+    want = sorted((r[0], r[1], float(Decimal(repr(r[2])).quantize(Decimal("0.000001"), ROUND_HALF_UP)) + 0.0) for r in plain)
+    for held in (150, 100_000):
+        monkeypatch.setattr(search, "HELD", held)
+        got = search.sparse_scan(df.where("id % 2 = 0"), df, metric, places=6)
+        assert plan(got).count("Project") == plan(search.sparse_scan(df.where("id % 2 = 0"), df, metric)).count("Project") and "Exchange" not in plan(got)
+        found = [tuple(r) for r in got.collect()]
+        assert sorted(found) == want
+        if not large or metric == "arc":  # a new start for each block of queries and each held part at most
+            assert sum(b[2] < a[2] for a, b in zip(found, found[1:])) <= 3 + len(found) // held
+
+
+def test_results_of_sparse_queries_are_small_files(spark, tmp_path):
+    """Values that are too many for a dictionary take 8 bytes a row unless equal ones stand together."""
+    from vecinity.plans import registry
+
+    rng = np.random.default_rng(7)
+    words = ["".join(w) for w in rng.choice(list("abcdefghij"), (30, 3))]
+    rows = [(i, " ".join(rng.choice(words, 60))) for i in range(12_000)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    for query in (registry.sparse_angular,):
+        query(spark, str(tmp_path)).write.parquet(out := str(tmp_path / query.__name__))
+        n = spark.read.parquet(out).count()
+        assert n == 120 * 12_000
+        assert sum(p.stat().st_size for p in (tmp_path / query.__name__).glob("*.parquet")) < 6 * n
+
+
 def test_words_are_counted_without_a_shuffle_and_rows_of_one_id_together(spark, tmp_path):
     from vecinity.plans import registry
 
