@@ -424,7 +424,7 @@ def test_results_of_sparse_queries_are_small_files(spark, tmp_path):
     words = ["".join(w) for w in rng.choice(list("abcdefghij"), (30, 3))]
     rows = [(i, " ".join(rng.choice(words, 60))) for i in range(12_000)]
     spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
-    for query in (registry.sparse_angular,):
+    for query in (registry.sparse_dot, registry.sparse_angular):
         query(spark, str(tmp_path)).write.parquet(out := str(tmp_path / query.__name__))
         n = spark.read.parquet(out).count()
         assert n == 120 * 12_000
